@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the engine is written for; a cluster brings its own session instead."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))  # workers import the package from here
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("hashmark")
