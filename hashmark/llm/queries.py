@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hashmark.llm import neighbours, packing, splits, tokens
+from hashmark.llm import neighbours, packing, splits, subjects, tokens
 from hashmark.plans.registry import Registry
 from hashmark.sources.tables import table, tables
 
@@ -67,3 +67,16 @@ def p8_pack(spark, sf_dir):
 def p8_containers(spark, sf_dir):
     """The containers with what they hold and the length they are cut down to."""
     return packing.containers(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
+@registry.query("p9_found")
+def p9_found(spark, sf_dir):
+    """The subjects of every document."""
+    return subjects.document_subjects(*tables(spark, sf_dir, "documents", "subject_areas", "subject_labels"))
+
+
+@registry.query("p9_composition")
+def p9_composition(spark, sf_dir):
+    """The corpus by subject: documents and sentences."""
+    counted = subjects.sentence_counts(*tables(spark, sf_dir, "documents", "subject_areas", "subject_labels"))
+    return counted.groupBy("subject").agg(F.count_if(subjects.FIFTH * F.col("n_sentences") >= F.col("n_any")).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
