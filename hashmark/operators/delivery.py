@@ -53,12 +53,14 @@ def feed_marked(feed: DataFrame, dim_team: DataFrame) -> DataFrame:
 
 def dropped(feed: DataFrame, dim_team: DataFrame) -> DataFrame:
     """``partition_no``, ``msg_offset`` of the deliveries to drop."""
-    return feed_marked(feed, dim_team).where("is_copy").select("partition_no", "msg_offset")
+    needed = feed.select("partition_no", "msg_offset", "game_id", "sequence_no", "received_at")
+    return feed_marked(needed, dim_team).where("is_copy").select("partition_no", "msg_offset")
 
 
 def feed_games(feed: DataFrame, dim_team: DataFrame) -> DataFrame:
     """Per game the results kept and the plays among them (those that aren't final), each counted once."""
-    kept = feed_marked(feed, dim_team).where("NOT is_copy")
+    needed = feed.select("partition_no", "msg_offset", "game_id", "sequence_no", "received_at", "is_final")
+    kept = feed_marked(needed, dim_team).where("NOT is_copy")
     return kept.groupBy("game_key").agg(F.count(F.lit(1)).alias("n_results"), F.count_if(~F.coalesce("is_final", F.lit(False))).alias("n_plays"))
 
 
