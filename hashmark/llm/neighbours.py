@@ -13,9 +13,9 @@ from hashmark.llm import quantizer
 from hashmark.session import cut
 
 #: The codebooks are fitted on at most about so many vectors, drawn by a hash of their ids; everything else covers all.
-SAMPLE = 65_536
+SAMPLE = 98_304
 #: Words of the first level: one for so many sampled vectors, at most FIRST; then the sizes of the other levels.
-PER_WORD, FIRST, RESIDUAL = 32, 2048, (64,) * 8
+PER_WORD, FIRST, RESIDUAL = 48, 2048, (64,) * 8
 #: Prefixes kept by the beam search; cells a vector is looked up in; candidates reranked exactly in each cell.
 BEAM, PROBES, RERANK = 6, 4, 160
 #: Vectors a cell holds before it is divided by one word more, and the most words that divide it.
@@ -135,8 +135,8 @@ def _placer(divided: frozenset[bytes], depth: int):
 def _searcher(books: quantizer.Codebooks, dims: int, k: int):
     """In one block of a cell: the ``k`` best of its members for every vector looked up there.
 
-    Rows: ``id`` and ``found`` (similarity, id) for every id; for vectors with more copies than were
-    listed, ``copies`` holds the least ids of all that are the same.
+    Rows: ``id`` and ``found`` (similarity, id) for every id; where a vector has more copies than ``k``, each task's
+    least id of it has ``copies``, the least ids of all that are the same.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -151,8 +151,10 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
         void = np.ascontiguousarray(raw).view(np.dtype((np.void, dims * 4))).ravel()
         _, first, same = np.unique(void[at], return_index=True, return_inverse=True)
         listed: list[list[int]] = [[] for _ in first]
+        heads: list[list[int]] = [[] for _ in first]
         for i, c in zip(at.tolist(), same.tolist()):
             listed[c] += ids[i]
+            heads[c].append(ids[i][0])
         listed = [sorted(x) for x in listed]
         one = at[first]
         db, db_codes, db_norms = exact[one], codes[one], norms[one]
@@ -180,9 +182,9 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
                     out_id.append(doc)
                     out_found.append([{"s": s, "i": i} for s, i in near])
                     out_copies.append(None)
-        for group in listed:
-            if len(group) > k:
-                out_id.append(group[0])
+        for group, names in zip(listed, heads):
+            for head in names if len(group) > k else ():
+                out_id.append(head)
                 out_found.append([])
                 out_copies.append(group[: k + 1])
         return pa.table(
@@ -200,7 +202,8 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     """``key``, ``neighbours`` (array of (similarity, key), best first): the ``k`` most similar other vectors of every usable one.
 
     Usable: not null, exactly ``dims`` finite numbers, not all zero; others take no part. Similarity is the cosine, ties
-    go to the smaller key. The search is approximate; what it returns is reranked by exact cosines.
+    go to the smaller key. The search is approximate; what it returns is reranked by exact cosines. Where the cells
+    looked up hold fewer than ``k`` others, so does the list.
 
     Codebooks of words in full dimension, each level fitted on what the levels before leave over, are
     fitted on a bounded sample. Every vector is encoded by beam search. The first words of a code are its cell; a cell
@@ -246,7 +249,7 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     listed = best.select("id", "best").where(F.size("best") > 0)
     # copies beyond those listed: their nearest are the least of their kind
     unlisted = encoded.where("copy_of IS NOT NULL").select(F.col("ids")[0].alias("id"), "copy_of")
-    heads = best.where("copies IS NOT NULL").select(F.explode("copies").alias("copy_of"), "copies")
+    heads = best.where("copies IS NOT NULL").select(F.col("id").alias("copy_of"), "copies")
     others = unlisted.join(heads, "copy_of").groupBy("id").agg(F.min("copies").alias("copies"))
     others = others.select("id", F.slice(F.transform(F.array_remove("copies", F.col("id")), lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("i"))), 1, k).alias("best"))
     whole = listed.unionByName(others)
