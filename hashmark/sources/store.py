@@ -17,7 +17,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Records that parse, and the lines that don't."""
     known = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    lines = spark.read.schema(known).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     return lines.where("_corrupt IS NULL").drop("_corrupt"), lines.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
