@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.compat import floor_zero, is_true, max_by_known
+from hashmark.functions.fuzzy import jaro_winkler
 from hashmark.operators import models, plays, quality, retrieval
 from hashmark.plans.registry import Registry
 from hashmark.sources import store
@@ -379,6 +380,18 @@ def rendering(spark, d):
     return table(spark, d, "dim_game").select("game_id", F.concat("home_team", F.lit(" "), s("home_score"), F.lit(", "), "away_team", F.lit(" "), s("away_score"), points).alias("line"))
 
 
+@q(
+    "fuzzy_names",
+    """WITH g AS (SELECT short_name, count(*) AS n, min(full_name) AS a, max(full_name) AS b FROM dim_player WHERE full_name IS NOT NULL GROUP BY 1)
+SELECT short_name, n, a, b, jaro_winkler_similarity(a, b) >= 0.88 AS alike, jaro_winkler_similarity(a, short_name) >= 0.7 AS short_alike FROM g""",
+)
+def fuzzy_names(spark, d):
+    """Full names that share a short name, and how alike they are to each other and to it."""
+    p = table(spark, d, "dim_player").where("full_name IS NOT NULL")
+    g = p.groupBy("short_name").agg(F.count(F.lit(1)).alias("n"), F.min("full_name").alias("a"), F.max("full_name").alias("b"))
+    return g.select("short_name", "n", "a", "b", (jaro_winkler("a", "b") >= 0.88).alias("alike"), (jaro_winkler("a", "short_name") >= 0.7).alias("short_alike"))
+
+
 @q("exploded_teams", "SELECT team, count(*) AS n FROM (SELECT unnest(teams) AS team FROM documents) GROUP BY 1")
 def exploded_teams(spark, d):
     """Array elements as rows."""
