@@ -79,4 +79,4 @@ def p9_found(spark, sf_dir):
 def p9_composition(spark, sf_dir):
     """The corpus by subject: documents and sentences."""
     counted = subjects.sentence_counts(*tables(spark, sf_dir, "documents", "subject_areas", "subject_labels"))
-    return counted.groupBy("subject").agg(F.count_if(subjects.FIFTH * F.col("n_sentences") >= F.col("n_any")).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+    return counted.groupBy("subject").agg(F.count_if(subjects.is_subject()).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))

@@ -132,10 +132,11 @@ def assign_splits(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, we
 
 
 def split_plays(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, **how) -> DataFrame:
-    """All plays with ``split``."""
+    """All plays with ``split``; a column of that name which the plays already have is replaced, any other is kept."""
     assigned = assign_splits(plays, dim_game, dim_team, **how)
-    by_game = game_components(plays, dim_game, dim_team).join(assigned.where("component IS NOT NULL"), "component").select(F.col("node").alias("_node"), "split")
-    no_game = assigned.where("component IS NULL").select(F.lit(None).cast("string").alias("_node"), "split")
+    by_game = game_components(plays, dim_game, dim_team).join(assigned.where("component IS NOT NULL"), "component").select(F.col("node").alias("_split_node"), F.col("split").alias("_split"))
+    no_game = assigned.where("component IS NULL").select(F.lit(None).cast("string").alias("_split_node"), F.col("split").alias("_split"))
     keys = by_game.unionByName(no_game)
-    named = plays.withColumn("_game", game_key(F.col("game_id"), team_aliases(dim_team)))
-    return named.join(keys, named["_game"].eqNullSafe(keys["_node"]), "left").drop("_game", "_node")
+    named = plays.drop("split").withColumn("_split_game", game_key(F.col("game_id"), team_aliases(dim_team)))
+    joined = named.join(keys, F.col("_split_game").eqNullSafe(F.col("_split_node")), "left")
+    return joined.drop("_split_game", "_split_node").withColumnRenamed("_split", "split")

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 from compare import same
+from pyspark.sql import functions as F
+
 from hashmark.llm import neighbours, packing, queries, splits, subjects, tokens
 
 TEAMS = "team string, former_team string"
@@ -234,3 +236,19 @@ def test_subjects_agree_with_annotators(spark, small):
     assert found.count() >= 0.6 * read("subject_labels").count()
 
 
+
+
+def test_a_passing_remark(spark):
+    """A single sentence beside others suffices in short texts only; alone it does in any."""
+    rows = [(1, "law", 1, 5, 6, False), (2, "law", 1, 5, 5, True), (3, "law", 2, 5, 9, True), (4, "law", 1, 1, 9, True), (5, "law", 1, 6, 6, False), (6, "law", 2, 11, 11, False)]
+    counted = spark.createDataFrame(rows, "doc_id long, subject string, n_sentences long, n_any long, n_all long, expected boolean")
+    assert counted.where(subjects.is_subject() != F.col("expected")).count() == 0
+
+
+def test_splits_with_clashing_columns(spark):
+    """Columns of the plays named like those made on the way are kept, but for ``split`` itself."""
+    plays = plays_of(spark, [(f"g{i}", 12) for i in range(40)] + [(None, 4)])
+    named = plays.drop("split", "component").withColumns({"split": F.lit("old"), "node": F.lit(1), "component": F.lit("c"), "_node": F.lit(2), "_game": F.lit(3)})
+    got = splits.split_plays(named, spark.createDataFrame([], GAMES), spark.createDataFrame([], TEAMS))
+    assert sorted(got.columns) == sorted(named.columns)
+    assert got.count() == named.count() and got.where("split NOT IN ('train', 'validation', 'test')").count() == 0 and got.where("node = 1 AND component = 'c' AND _node = 2 AND _game = 3").count() == got.count()
