@@ -57,6 +57,12 @@ def calibration(scored: DataFrame, p: str = "p", label: str = "label", bins: int
     return scored.groupBy(b).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(label).alias("observed"))
 
 
+def calibration_error(scored: DataFrame, p: str = "p", label: str = "label", bins: int = 10) -> DataFrame:
+    """One row, ``ece``: the mean distance of predicted and observed shares over the bins, weighted by their rows."""
+    c = calibration(scored, p, label, bins)
+    return c.agg((F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))) / F.sum("n")).alias("ece"))
+
+
 def rank_auc(scored: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
     """The probability that a positive ranks above a negative, ties counting half; null without both.
 
@@ -72,6 +78,26 @@ def rank_auc(scored: DataFrame, p: str = "p", label: str = "label") -> DataFrame
     return lower.agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
+def feature_auc(frame: DataFrame, features: list[str], label: str, parts: int = 256) -> DataFrame:
+    """``feature``, ``n``, ``auc``: how well each feature alone ranks the outcome, folded to at least a half, in one pass.
+
+    Equal values are counted together; the values of a feature are cut at its quantiles, so that no window holds
+    more than about one of ``parts`` ranges. Null and NaN values, and rows without outcome, don't count.
+    """
+    held = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    long = frame.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), held.alias("f")).select("y", "f.*").where("v IS NOT NULL AND NOT isnan(v)")
+    values = long.groupBy("feature", "v").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    cuts = values.groupBy("feature").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("cuts"))
+    ranged = values.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = ranged.groupBy("feature", "range").agg(F.sum("neg").alias("range_neg"))
+    below = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("feature", "range", F.coalesce(F.sum("range_neg").over(below), F.lit(0.0)).alias("below"))
+    within = Window.partitionBy("feature", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    lower = ranged.join(F.broadcast(starts), ["feature", "range"]).withColumn("lower", F.col("below") + F.coalesce(F.sum("neg").over(within), F.lit(0.0)))
+    wins = F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))
+    return lower.groupBy("feature").agg(F.sum(F.col("pos") + F.col("neg")).cast("long").alias("n"), wins.alias("a")).select("feature", "n", F.greatest("a", 1 - F.col("a")).alias("auc"))
+
+
 def flipped(frame: DataFrame) -> DataFrame:
     """The state the other side sees after losing the ball: field mirrored (1..99), score negated, six seconds gone, first and ten (or goal)."""
     yard = F.least(F.greatest(100 - F.col("yardline_100"), F.lit(1)), F.lit(99))

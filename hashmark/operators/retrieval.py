@@ -46,3 +46,37 @@ def fuse(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     part = lambda r: F.coalesce(1.0 / (FUSION + F.col(r)), F.lit(0.0))
     found = F.when(F.col("ra").isNull(), "lexical").when(F.col("rb").isNull(), "dense").otherwise("both")
     return both.select(key, F.round(part("ra") + part("rb"), 9).alias("fused"), found.alias("found_by"))
+
+
+def block_rank(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 256) -> DataFrame:
+    """``query``, ``key``, ``score``, ``rank``: the ``k`` most similar other rows of each row of a stated set of queries.
+
+    The rows are spread over blocks and every query visits each block, where the best are kept, so that
+    only ``k`` rows a query and block are ranked in the end. Ties go to the smaller key; rows whose vector is null or all
+    zero, or differs in length from the query's, have no rank.
+    """
+
+    def normed(df: DataFrame) -> DataFrame:
+        x = F.transform(F.col(vector), lambda v: v.cast("double"))
+        size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
+        return df.select(F.col(key), x.alias("_x"), F.nullif(size, F.lit(0.0)).alias("_size")).where("_size IS NOT NULL")
+
+    rows = normed(vectors).withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    asked = normed(queries).select(F.col(key).alias("query"), F.col("_x").alias("_q"), F.col("_size").alias("_q_size"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    dot = F.aggregate(F.zip_with("_q", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    scored = rows.join(asked, "_block").where(F.col(key) != F.col("query")).select("query", F.col(key), "_block", F.round(dot / (F.col("_q_size") * F.col("_size")), 6).alias("score"))
+    order = [F.desc("score"), F.asc(key)]
+    in_block = Window.partitionBy("query", "_block").orderBy(*order)
+    best = scored.where("score IS NOT NULL").withColumn("_r", F.row_number().over(in_block)).where(F.col("_r") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", key, "score", "rank")
+
+
+def ranking_scores(ranked: DataFrame, relevant: Column, k: int) -> DataFrame:
+    """One row: queries, ``hit_at_1``, ``recall_at_k`` (queries with any relevant row among the first ``k``), ``mrr`` (0 where none)."""
+    first = ranked.where(F.col("rank") <= k).groupBy("query").agg(F.min(F.when(relevant, F.col("rank"))).alias("first"))
+    return first.agg(
+        F.count(F.lit(1)).alias("n_queries"),
+        F.avg(F.coalesce(F.col("first") == 1, F.lit(False)).cast("double")).alias("hit_at_1"),
+        F.avg(F.col("first").isNotNull().cast("double")).alias("recall_at_k"),
+        F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"),
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hashmark.plans import data_care, warehouse
+from hashmark.plans import analysis, data_care, warehouse
 from hashmark.plans.registry import Registry
 
 
 def registry() -> Registry:
-    return Registry().merged(data_care.registry, warehouse.registry)
+    return Registry().merged(data_care.registry, warehouse.registry, analysis.registry)

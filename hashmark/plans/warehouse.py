@@ -21,13 +21,13 @@ def r6(c):
     return F.round(c, 6)
 
 
-_LATEST = """latest AS (SELECT * FROM fact_plays QUALIFY row_number() OVER (PARTITION BY play_key ORDER BY loaded_at DESC NULLS LAST, game_id DESC NULLS LAST, play_id DESC NULLS LAST, season DESC NULLS LAST,
+LATEST = """latest AS (SELECT * FROM fact_plays QUALIFY row_number() OVER (PARTITION BY play_key ORDER BY loaded_at DESC NULLS LAST, game_id DESC NULLS LAST, play_id DESC NULLS LAST, season DESC NULLS LAST,
   posteam DESC NULLS LAST, defteam DESC NULLS LAST, posteam_won DESC NULLS LAST, fixed_drive DESC NULLS LAST, qtr DESC NULLS LAST, down DESC NULLS LAST, ydstogo DESC NULLS LAST, yardline_100 DESC NULLS LAST,
   game_seconds_remaining DESC NULLS LAST, score_differential DESC NULLS LAST, play_type DESC NULLS LAST, yards_gained DESC NULLS LAST, passer_player_id DESC NULLS LAST, rusher_player_id DESC NULLS LAST,
   receiver_player_id DESC NULLS LAST, epa DESC NULLS LAST, wp DESC NULLS LAST) = 1)"""
 
 
-def _latest(spark, d):
+def latest(spark, d):
     return plays.latest_plays(table(spark, d, "fact_plays"))
 
 
@@ -141,36 +141,36 @@ def lossless_split(spark, d):
 # --- the tables built from plays
 
 
-@q("plays_latest", f"WITH {_LATEST} SELECT season, count(*) AS n, count(DISTINCT game_id) AS n_games FROM latest GROUP BY 1")
+@q("plays_latest", f"WITH {LATEST} SELECT season, count(*) AS n, count(DISTINCT game_id) AS n_games FROM latest GROUP BY 1")
 def plays_latest(spark, d):
     """Plays and games per season, a redelivered play counted once."""
-    return _latest(spark, d).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("game_id").alias("n_games"))
+    return latest(spark, d).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("game_id").alias("n_games"))
 
 
 @q(
     "drives",
-    f"""WITH {_LATEST} SELECT game_id, fixed_drive, count(*) AS n_plays, CAST(sum(yards_gained) AS BIGINT) AS yards, arg_min(game_seconds_remaining, play_id) AS start_clock, arg_max(game_seconds_remaining, play_id) AS end_clock,
+    f"""WITH {LATEST} SELECT game_id, fixed_drive, count(*) AS n_plays, CAST(sum(yards_gained) AS BIGINT) AS yards, arg_min(game_seconds_remaining, play_id) AS start_clock, arg_max(game_seconds_remaining, play_id) AS end_clock,
   arg_min(yardline_100, play_id) AS start_yardline, max(qtr) AS last_qtr, count(*) FILTER (WHERE is_pass_call) AS n_passes FROM latest WHERE fixed_drive IS NOT NULL GROUP BY 1, 2""",
 )
 def drives(spark, d):
     """One row a drive."""
-    return plays.drives(_latest(spark, d))
+    return plays.drives(latest(spark, d))
 
 
 @q(
     "team_games",
-    f"""WITH {_LATEST}, p AS (SELECT *, coalesce(is_designed_play, false) AS designed FROM latest WHERE posteam IS NOT NULL)
+    f"""WITH {LATEST}, p AS (SELECT *, coalesce(is_designed_play, false) AS designed FROM latest WHERE posteam IS NOT NULL)
 SELECT game_id, posteam, count(*) AS n_plays, count(*) FILTER (WHERE designed) AS n_designed, round(avg(epa) FILTER (WHERE designed), 9) AS epa_per_play, round(avg((epa > 0)::DOUBLE) FILTER (WHERE designed), 9) AS success_rate,
   round(count(*) FILTER (WHERE designed AND is_pass_call)::DOUBLE / nullif(count(*) FILTER (WHERE designed), 0), 9) AS pass_rate, CAST(sum(CASE WHEN down = 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_fourth FROM p GROUP BY 1, 2""",
 )
 def team_games(spark, d):
     """One row a game and team in possession."""
-    return plays.team_games(_latest(spark, d)).withColumns({c: F.round(c, 9) for c in ("epa_per_play", "success_rate", "pass_rate")})
+    return plays.team_games(latest(spark, d)).withColumns({c: F.round(c, 9) for c in ("epa_per_play", "success_rate", "pass_rate")})
 
 
 @q(
     "mart_tendencies",
-    f"""WITH {_LATEST}, dp AS (SELECT * FROM latest WHERE is_designed_play AND posteam IS NOT NULL AND season IS NOT NULL),
+    f"""WITH {LATEST}, dp AS (SELECT * FROM latest WHERE is_designed_play AND posteam IS NOT NULL AND season IS NOT NULL),
 a AS (SELECT posteam, season, count(*) AS designed_plays, round(avg(is_pass_call::INT), 9) AS pass_rate, round(avg(epa), 9) AS epa_per_play FROM dp GROUP BY 1, 2),
 b AS (SELECT posteam, season, count(*) AS neutral_plays, round(avg(is_pass_call::INT), 9) AS neutral_pass_rate FROM dp WHERE is_neutral_script GROUP BY 1, 2),
 c AS (SELECT posteam, season, round(count(*) FILTER (WHERE is_designed_play)::DOUBLE / count(*), 9) AS go_rate FROM latest WHERE down = 4 AND posteam IS NOT NULL AND season IS NOT NULL GROUP BY 1, 2)
@@ -178,18 +178,18 @@ SELECT * FROM a LEFT JOIN b USING (posteam, season) LEFT JOIN c USING (posteam,
 )
 def mart_tendencies(spark, d):
     """Team-season tendencies recomputed from the plays."""
-    return plays.tendencies(_latest(spark, d)).withColumns({c: F.round(c, 9) for c in ("pass_rate", "epa_per_play", "neutral_pass_rate", "go_rate")})
+    return plays.tendencies(latest(spark, d)).withColumns({c: F.round(c, 9) for c in ("pass_rate", "epa_per_play", "neutral_pass_rate", "go_rate")})
 
 
 @q(
     "player_games",
-    f"""WITH {_LATEST}, s AS (SELECT game_id, passer_player_id AS player_id, 'passer' AS role, epa, yards_gained AS y FROM latest UNION ALL SELECT game_id, rusher_player_id, 'rusher', epa, yards_gained FROM latest
+    f"""WITH {LATEST}, s AS (SELECT game_id, passer_player_id AS player_id, 'passer' AS role, epa, yards_gained AS y FROM latest UNION ALL SELECT game_id, rusher_player_id, 'rusher', epa, yards_gained FROM latest
   UNION ALL SELECT game_id, receiver_player_id, 'receiver', epa, yards_gained FROM latest)
 SELECT game_id, player_id, role, count(*) AS n_plays, CAST(sum(y) AS BIGINT) AS yards, round(sum(epa), 6) AS epa FROM s WHERE player_id IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def player_games(spark, d):
     """Players' games by role, the roles stacked."""
-    return plays.player_games(_latest(spark, d)).withColumn("epa", r6(F.col("epa")))
+    return plays.player_games(latest(spark, d)).withColumn("epa", r6(F.col("epa")))
 
 
 @q(
@@ -283,13 +283,13 @@ def top1_per_key(spark, d):
 
 @q(
     "lead_pairs",
-    f"""WITH {_LATEST}, w AS (SELECT game_id, play_id, posteam, lead(posteam) OVER g AS next_team, lead(yardline_100) OVER g AS next_yardline FROM latest WINDOW g AS (PARTITION BY game_id ORDER BY play_id, play_key))
+    f"""WITH {LATEST}, w AS (SELECT game_id, play_id, posteam, lead(posteam) OVER g AS next_team, lead(yardline_100) OVER g AS next_yardline FROM latest WINDOW g AS (PARTITION BY game_id ORDER BY play_id, play_key))
 SELECT game_id, play_id, posteam, next_team, next_yardline FROM w WHERE posteam <> next_team""",
 )
 def lead_pairs(spark, d):
     """Plays after which the other team has the ball."""
     w = Window.partitionBy("game_id").orderBy("play_id", "play_key")
-    p = _latest(spark, d).withColumns({"next_team": F.lead("posteam").over(w), "next_yardline": F.lead("yardline_100").over(w)})
+    p = latest(spark, d).withColumns({"next_team": F.lead("posteam").over(w), "next_yardline": F.lead("yardline_100").over(w)})
     return p.where("posteam <> next_team").select("game_id", "play_id", "posteam", "next_team", "next_yardline")
 
 
@@ -545,7 +545,7 @@ def possession_flip(spark, d):
 @q("win_model")
 def win_model(spark, d):
     """A logistic win model trained on earlier seasons, scored on later ones."""
-    frame = models.design(_latest(spark, d), "posteam_won", models.PRE_SNAP)
+    frame = models.design(latest(spark, d), "posteam_won", models.PRE_SNAP)
     train, _, test = models.season_split(frame, 2014, 2016)
     return models.metrics(models.score(models.fit(train, models.PRE_SNAP), test))
 
@@ -553,7 +553,7 @@ def win_model(spark, d):
 @q("play_call_model")
 def play_call_model(spark, d):
     """Boosted trees for pass or run, calibrated on later seasons."""
-    frame = models.design(_latest(spark, d).where("is_designed_play"), "is_pass_call", models.PRE_SNAP)
+    frame = models.design(latest(spark, d).where("is_designed_play"), "is_pass_call", models.PRE_SNAP)
     train, _, test = models.season_split(frame, 2014, 2016)
     return models.calibration(models.score(models.fit(train, models.PRE_SNAP, "trees"), test))
 

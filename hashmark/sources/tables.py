@@ -12,3 +12,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [table(spark, folder, n) for n in names]
+
+
+def register_views(spark: SparkSession, folder: str, *names: str) -> None:
+    """Make tables of a folder known to ``spark.sql`` under their names; queries are pruned and pushed down as usual."""
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
