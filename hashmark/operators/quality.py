@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,65 @@ def matches(c: str, pattern: str) -> Check:
     return Check("matches", c, ~F.col(c).rlike(pattern))
 
 
+def expression(name: str, c: str, holds: Column) -> Check:
+    return Check(name, c, ~holds)
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A whole table passes where ``value``, an aggregate, lies within the bounds; an unknown value fails."""
+
+    name: str
+    column: str
+    value: Column
+    low: float
+    high: float
+
+
+def mean_between(c: str, low: float, high: float) -> Measure:
+    return Measure("mean_between", c, F.avg(c), low, high)
+
+
+def null_rate_below(c: str, share: float) -> Measure:
+    return Measure("null_rate_below", c, F.avg(F.col(c).isNull().cast("double")), 0.0, share)
+
+
+def rows_between(low: int, high: int) -> Measure:
+    return Measure("rows_between", "", F.count(F.lit(1)), low, high)
+
+
+def measures(df: DataFrame, wanted: list[Measure]) -> DataFrame:
+    """``check_name``, ``column_name``, ``value``, ``passed``: one row a measure, all taken in one pass."""
+    taken = df.agg(*[m.value.cast("double").alias(f"m{i}") for i, m in enumerate(wanted)])
+    rows = [
+        F.struct(
+            F.lit(m.name).alias("check_name"), F.lit(m.column).alias("column_name"), F.col(f"m{i}").alias("value"), F.coalesce(F.col(f"m{i}").between(m.low, m.high), F.lit(False)).alias("passed")
+        )
+        for i, m in enumerate(wanted)
+    ]
+    return taken.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def examples(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """``check_name``, ``column_name``, ``least``, ``greatest``: the extreme values, as text, among those that fail; null where none does."""
+    fails = [F.when(c.fails, F.col(c.column).cast("string")) for c in checks]
+    found = df.agg(*[F.min(f).alias(f"a{i}") for i, f in enumerate(fails)], *[F.max(f).alias(f"b{i}") for i, f in enumerate(fails)])
+    rows = [F.struct(F.lit(c.name).alias("check_name"), F.lit(c.column).alias("column_name"), F.col(f"a{i}").alias("least"), F.col(f"b{i}").alias("greatest")) for i, c in enumerate(checks)]
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def schema_differences(df: DataFrame, expected: T.StructType, strict: bool = True) -> list[str]:
+    """How a table's columns differ from those agreed on, in words; columns beyond those count only if ``strict``, as does their order."""
+    have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in expected}
+    out = [f"{n}: missing" for n in want if n not in have]
+    out += [f"{n}: {have[n].simpleString()} instead of {t.simpleString()}" for n, t in want.items() if n in have and have[n] != t]
+    if strict:
+        out += [f"{n}: not agreed on" for n in have if n not in want]
+        if not out and list(have) != list(want):
+            out.append("columns in another order")
+    return out
+
+
 def report(df: DataFrame, checks: list[Check]) -> DataFrame:
     """``check_name``, ``column_name``, ``n_failed``, ``n_rows``: one row a check, all counted in one pass."""
     fails = [F.count_if(F.coalesce(c.fails, F.lit(False))).alias(f"f{i}") for i, c in enumerate(checks)]

@@ -7,10 +7,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hashmark.operators import decisions, models, retrieval
+from hashmark.operators import decisions, models, quality, retrieval
 from hashmark.plans.registry import Registry
 from hashmark.plans.warehouse import LATEST, latest, r6
 from hashmark.sources.tables import table
+from hashmark.streaming import replay
 
 registry = Registry()
 q = registry.query
@@ -167,6 +168,33 @@ def fourth_down_audit(spark, d):
     return decisions.audit(valued.join(keyed.select("play_key", chosen.alias("choice")), "play_key"), F.col("choice"))
 
 
+# --- checks and windows of event time
+
+
+@q(
+    "table_measures",
+    """SELECT unnest([{'check_name': 'mean_between', 'column_name': 'epa', 'value': round(avg(epa) FILTER (WHERE NOT isnan(epa)), 6)}, {'check_name': 'null_rate_below', 'column_name': 'season', 'value': round(avg((season IS NULL)::INT), 6)},
+  {'check_name': 'rows_between', 'column_name': '', 'value': count(*)::DOUBLE}], recursive := true), unnest([coalesce(avg(epa) FILTER (WHERE NOT isnan(epa)) BETWEEN -0.5 AND 0.5, false), avg((season IS NULL)::INT) <= 0.01, count(*) >= 1]) AS passed FROM fact_plays""",
+)
+def table_measures(spark, d):
+    """Means, shares of nulls and the number of rows against their bounds, in one pass."""
+    sound = table(spark, d, "fact_plays").select("season", F.nanvl("epa", F.lit(None).cast("double")).alias("epa"))
+    wanted = [quality.mean_between("epa", -0.5, 0.5), quality.null_rate_below("season", 0.01), quality.rows_between(1, 1 << 60)]
+    return quality.measures(sound, wanted).withColumn("value", r6(F.col("value")))
+
+
+@q("failed_examples", "SELECT 'in_range' AS check_name, 'ydstogo' AS column_name, min(ydstogo::VARCHAR) AS least, max(ydstogo::VARCHAR) AS greatest FROM fact_plays WHERE ydstogo NOT BETWEEN 1 AND 10")
+def failed_examples(spark, d):
+    """What fails a check, by its extremes."""
+    return quality.examples(table(spark, d, "fact_plays"), [quality.in_range("ydstogo", 1, 10)])
+
+
+@q("daily_event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def daily_event_windows(spark, d):
+    """Windows of a day by the function that streams use too."""
+    return replay.windowed(table(spark, d, "events"), "ts", "1 day", ["event_type"], "value").withColumn("total", F.round("total", 4))
+
+
 # --- metrics
 
 _SCORED = "x AS (SELECT least(greatest(wp, 0), 1) AS p, posteam_won::INT::DOUBLE AS label FROM fact_plays WHERE wp IS NOT NULL AND posteam_won IS NOT NULL AND NOT isnan(wp))"

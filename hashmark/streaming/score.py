@@ -30,10 +30,11 @@ def changes(events: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return events.withColumn("score", now).withColumn("change", F.round(now - F.coalesce(F.lag(now).over(w), now), DIGITS)).withColumn("sequence", F.row_number().over(w) - 1)
 
 
-def stream_changes(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def stream_changes(events: DataFrame, key: str, order: str, value: str, final: str | None = None) -> DataFrame:
     """``key``, ``order``, ``score``, ``change`` of a stream: the state of a key is the value published last and survives restarts.
 
-    Within a batch events are put in order by ``order``; across batches they must come in order.
+    Within a batch events are put in order by ``order``; across batches they must come in order. With ``final``, a
+    boolean column, a key's state is given up once its last event is in.
     """
     kinds = dict(events.dtypes)
 
@@ -45,6 +46,8 @@ def stream_changes(events: DataFrame, key: str, order: str, value: str) -> DataF
         if len(now):
             before.iloc[0] = now.iloc[0] if last is None else last
             state.update((float(now.iloc[-1]),))
+        if final and df[final].fillna(False).astype(bool).any():
+            state.remove()
         yield pd.DataFrame({key: df[key], order: df[order], "score": now, "change": (now - before).round(DIGITS)})
 
     return events.groupBy(key).applyInPandasWithState(
