@@ -198,12 +198,47 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
     return run
 
 
+def _exact(dims: int, k: int):
+    """The ``k`` best of a block's members for every other row there, by exact similarity to all of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("ids").to_pylist()
+        member = np.asarray(table.column("member"))
+        x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, dims).astype(np.float64))
+        at, db = np.flatnonzero(member), x[member]
+        least = np.array([ids[i][0] for i in at], np.int64)
+        out_id, out_found = [], []
+        for q in np.flatnonzero(~member):
+            sims = np.round(db @ x[q], 12)
+            # of rows that tie, those with the least ids hold all that can be among the best
+            top = np.lexsort((least, -sims))[: k + 1]
+            pool = sorted((-sims[r], i) for r in top for i in ids[at[r]] if i != ids[q][0])[:k]
+            out_id.append(ids[q][0])
+            out_found.append([{"s": -s, "i": i} for s, i in pool])
+        kind = pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())]))
+        return pa.table({"id": pa.array(out_id, pa.int64()), "found": pa.array(out_found, kind)})
+
+    return run
+
+
+def _searched_everywhere(short: DataFrame, distinct: DataFrame, n: int, n_short: int, dims: int, k: int) -> DataFrame:
+    """``id``, ``all``: the best of all vectors for the few of ``short`` (``id``), in blocks of both."""
+    blocks, chunks = -(-n // CELL), -(-n_short // CELL)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = distinct.select(F.explode("ids").alias("id"), "vector").join(short, "id").select(F.array("id").alias("ids"), "vector", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
+    members = distinct.select("ids", "vector", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
+    both = asked.withColumn("member", F.lit(False)).unionByName(members.withColumn("member", F.lit(True)))
+    found = both.groupBy("block", "chunk").applyInArrow(_exact(dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
+    return found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"))
+
+
 def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """``key``, ``neighbours`` (array of (similarity, key), best first): the ``k`` most similar other vectors of every usable one.
 
     Usable: not null, exactly ``dims`` finite numbers, not all zero; others take no part. Similarity is the cosine, ties
     go to the smaller key. The search is approximate; what it returns is reranked by exact cosines. Where the cells
-    looked up hold fewer than ``k`` others, so does the list.
+    looked up hold fewer than ``k`` others, the vector is held against all others exactly, in blocks; so a list is only
+    shorter than ``k`` where there are fewer others.
 
     Codebooks of words in full dimension, each level fitted on what the levels before leave over, are
     fitted on a bounded sample. Every vector is encoded by beam search. The first words of a code are its cell; a cell
@@ -245,8 +280,13 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     # an id was looked up in a few cells (or blocks): their lists are short and few
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"), F.max("copies").alias("copies"))
     by_rank = F.array_sort(F.transform(F.array_distinct("all"), lambda x: F.struct((-x["s"]).alias("s"), x["i"].alias("i"))))
-    best = merged.select("id", F.slice(by_rank, 1, k).alias("best"), "copies")
+    best = cut(merged.select("id", F.slice(by_rank, 1, k).alias("best"), "copies"))
     listed = best.select("id", "best").where(F.size("best") > 0)
+    short = best.where(F.size("best") < k).select("id")
+    n_short = short.count()
+    if n_short:
+        everywhere = _searched_everywhere(short, distinct, n, n_short, dims, k).select("id", F.slice(by_rank, 1, k).alias("best"))
+        listed = listed.where(F.size("best") == k).unionByName(everywhere.where(F.size("best") > 0))
     # copies beyond those listed: their nearest are the least of their kind
     unlisted = encoded.where("copy_of IS NOT NULL").select(F.col("ids")[0].alias("id"), "copy_of")
     heads = best.where("copies IS NOT NULL").select(F.col("id").alias("copy_of"), "copies")
