@@ -22,6 +22,10 @@ BEAM, PROBES, RERANK = 6, 4, 160
 CELL, DEPTH = 8192, 3
 #: Prefixes that are divided are known to every task; beyond so many, cells grow instead.
 MAX_DIVIDED = 65_536
+#: Vectors have the same direction if their cosine is no further below 1: multiples of each other in single precision are within it.
+ALIKE = 1e-14
+#: Scores by tables and products in single precision that differ by no more count as equal.
+NOISE, ROUGH = 1e-6, 1e-5
 
 
 def _usable(batch: pa.RecordBatch, at: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +46,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _directions(unit: np.ndarray) -> np.ndarray:
+    """For each row the first row of the same direction: found by rounded coordinates, verified by the cosine.
+
+    Few rows stay apart although they are alike, as rounding separates them; the search doesn't depend on it.
+    """
+    bucket = np.unique(_keys(np.round(unit * 1e4).astype(np.int16)), return_inverse=True)[1]
+    label, left = np.arange(len(unit)), np.arange(len(unit))
+    for _ in range(16):
+        if not len(left):
+            break
+        _, first, same = np.unique(bucket[left], return_index=True, return_inverse=True)
+        head = left[first][same]
+        alike = np.einsum("rd,rd->r", unit[left], unit[head]) >= 1 - ALIKE
+        label[left[alike]] = head[alike]
+        left = left[~alike]
+    return label
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+
+
 def _sample(vectors: DataFrame, dims: int, size: int) -> np.ndarray:
     n = vectors.count()
     scale = 1 << 32
@@ -54,7 +80,10 @@ def _sample(vectors: DataFrame, dims: int, size: int) -> np.ndarray:
 
 
 def _encoder(books: quantizer.Codebooks, dims: int, k: int, depth: int):
-    """Per task: exact copies of a vector become one row with their least ids (``k`` + 1 of them); the others follow as rows without vector."""
+    """Per task: exact copies of a vector become one row with their least ids; so do more than ``k`` + 1 vectors of one direction.
+
+    A row has at most ``k`` + 1 ids; the others follow as rows without vector.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = [np.zeros(0, np.int64)], [np.zeros((0, dims), np.float32)]
@@ -67,7 +96,12 @@ def _encoder(books: quantizer.Codebooks, dims: int, k: int, depth: int):
             return
         order = np.argsort(id_, kind="stable")
         id_, raw = id_[order], raw[order]
-        _, first, same = np.unique(raw.view(np.dtype((np.void, raw.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+        _, first, same = np.unique(_keys(raw), return_index=True, return_inverse=True)
+        # few multiples of a vector keep their own, many become one
+        head = _directions(_unit(raw[first].astype(np.float64)))
+        many = np.bincount(head[same], minlength=len(first)) > k + 1
+        merged = np.where(many[head], head, np.arange(len(first)))[same]
+        _, first, same = np.unique(merged, return_index=True, return_inverse=True)
         members: list[list[int]] = [[] for _ in first]
         rest_of, rest = [], []
         for i, c in zip(id_.tolist(), same.tolist()):
@@ -133,11 +167,7 @@ def _placer(divided: frozenset[bytes], depth: int):
 
 
 def _searcher(books: quantizer.Codebooks, dims: int, k: int):
-    """In one block of a cell: the ``k`` best of its members for every vector looked up there.
-
-    Rows: ``id`` and ``found`` (similarity, id) for every id; where a vector has more copies than ``k``, each task's
-    least id of it has ``copies``, the least ids of all that are the same.
-    """
+    """In one block of a cell: the ``k`` best of its members for every vector looked up there, as ``id`` and ``found`` (similarity, id)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("ids").to_pylist()
@@ -148,52 +178,58 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
         exact = _unit(raw.astype(np.float64))
         # members with the same vector are one, with the least ids of all
         at = np.flatnonzero(home)
-        void = np.ascontiguousarray(raw).view(np.dtype((np.void, dims * 4))).ravel()
-        _, first, same = np.unique(void[at], return_index=True, return_inverse=True)
+        _, first, same = np.unique(_keys(raw[at]), return_index=True, return_inverse=True)
         listed: list[list[int]] = [[] for _ in first]
-        heads: list[list[int]] = [[] for _ in first]
         for i, c in zip(at.tolist(), same.tolist()):
             listed[c] += ids[i]
-            heads[c].append(ids[i][0])
-        listed = [sorted(x) for x in listed]
-        one = at[first]
-        db, db_codes, db_norms = exact[one], codes[one], norms[one]
-        approximate, narrow = exact.astype(np.float32), db.astype(np.float32)
-        out_id, out_found, out_copies = [], [], []
+        listed = [sorted(x)[: k + 1] for x in listed]
+        db = exact[at[first]]
+        # those of one direction are chosen by one of them, then each is held against the vector looked up
+        heads, of = np.unique(_directions(db), return_inverse=True)
+        by_head = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(heads)))[:-1])
+        one = at[first[heads]]
+        lead, lead_codes, lead_norms = exact[one], codes[one], norms[one]
+        alone = np.array([len(x) == 1 for x in by_head], bool)
+        approximate, narrow = exact.astype(np.float32), lead.astype(np.float32)
+        out_id, out_found = [], []
         n = min(RERANK, len(one))
+        few, last = min(n, k + 6), min(n, k + 1) - 1
+
+        def closest(q: int, chosen: np.ndarray) -> list[tuple[float, int]]:
+            """The best of all vectors with the directions ``chosen``, and of those the least ids where they tie."""
+            near = lead[chosen] @ exact[q]
+            if len(near) > last + 1:
+                chosen = chosen[near >= -np.partition(-near, last)[last] - NOISE]
+            rows = np.concatenate([by_head[c] for c in chosen])
+            who = np.concatenate([np.array(listed[r], np.int64) for r in rows])
+            sims = np.repeat(np.round(db[rows] @ exact[q], 12), [len(listed[r]) for r in rows])
+            top = np.lexsort((who, -sims))[: k + 1]
+            return list(zip((-sims[top]).tolist(), who[top].tolist()))
+
         for start in range(0, len(raw) if n else 0, 512):
             part = slice(start, min(start + 512, len(raw)))
-            score = quantizer.scores(books, approximate[part], db_codes, db_norms).T
+            score = quantizer.scores(books, approximate[part], lead_codes, lead_norms).T
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            least = np.take_along_axis(score, best, 1).min(1) - NOISE
+            wide = (score >= least[:, None]).sum(1) > n
             # exact products of the best, first in single precision, then in double for the few that count
             rough = np.einsum("qd,qrd->qr", approximate[part], narrow[best])
-            few = min(n, k + 6)
+            wide |= (rough >= -np.partition(-rough, last, axis=1)[:, last, None] - ROUGH).sum(1) > few
             top = np.argpartition(-rough, few - 1, axis=1)[:, :few]
             best = np.take_along_axis(best, top, 1)
-            sims = np.round(np.einsum("qd,qrd->qr", exact[part], db[best]), 12)
-            order = np.argsort(-sims, axis=1, kind="stable")
-            best, sims = np.take_along_axis(best, order, 1), np.take_along_axis(sims, order, 1)
-            for q, row, sim in zip(range(part.start, part.stop), best.tolist(), sims.tolist()):
-                # only classes that tie with the last needed one can matter beyond the first k + 1
-                pool = [(-s, i) for s, c in zip(sim, row) for i in listed[c][: k + 1]]
-                pool.sort()
+            wide |= ~alone[best].all(1)
+            sims = np.round(np.einsum("qd,qrd->qr", exact[part], lead[best]), 12)
+            for q, row, sim, more in zip(range(part.start, part.stop), best.tolist(), sims.tolist(), wide.tolist()):
+                if more:
+                    # whatever the tables or single precision can't tell from the last one kept
+                    pool = closest(q, np.flatnonzero(score[q - start] >= least[q - start]))
+                else:
+                    pool = sorted((-s, i) for s, c in zip(sim, row) for i in listed[by_head[c][0]])
                 for doc in ids[q]:
                     near = [(-s, i) for s, i in pool if i != doc][:k]
                     out_id.append(doc)
                     out_found.append([{"s": s, "i": i} for s, i in near])
-                    out_copies.append(None)
-        for group, names in zip(listed, heads):
-            for head in names if len(group) > k else ():
-                out_id.append(head)
-                out_found.append([])
-                out_copies.append(group[: k + 1])
-        return pa.table(
-            {
-                "id": pa.array(out_id, pa.int64()),
-                "found": pa.array(out_found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())]))),
-                "copies": pa.array(out_copies, pa.list_(pa.int64())),
-            }
-        )
+        return pa.table({"id": pa.array(out_id, pa.int64()), "found": pa.array(out_found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))})
 
     return run
 
@@ -245,7 +281,9 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     of over ``CELL`` vectors is divided by the next word, and one that the words can't divide further is
     searched in blocks. A vector is looked up in its own cell and in those its beam came by: tables of its products with the words give the
     scores of all codes there, divided by their stored norms, and the best are reranked exactly.
-    Exact copies are one vector with several keys in every step, so that many copies cost no more than one.
+    Exact copies are one vector with several keys in every step, so that many copies cost no more than one; so are
+    vectors of one direction (multiples of each other, which differ by the rounding of single precision at most) where a
+    task holds more than ``k`` + 1 of them. Fewer keep their own vectors. Whatever ties with the last one kept is kept too.
     """
     vectors = docs.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     spark = docs.sparkSession
@@ -275,23 +313,22 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     cells = cells.join(F.broadcast(split), "cell", "left").withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64(F.col("ids")[0]), F.coalesce("n_blocks", F.lit(1)))).cast("int"))
     cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n_blocks", F.lit(1)) - 1)))
     cells = cells.select("cell", "block", "ids", "vector", "code", "norm", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("member"))
-    found = cells.groupBy("cell", "block").applyInArrow(_searcher(books, dims, k), "id bigint, found array<struct<s:double,i:bigint>>, copies array<bigint>")
+    found = cells.groupBy("cell", "block").applyInArrow(_searcher(books, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
 
     # an id was looked up in a few cells (or blocks): their lists are short and few
-    merged = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"), F.max("copies").alias("copies"))
+    merged = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"))
     by_rank = F.array_sort(F.transform(F.array_distinct("all"), lambda x: F.struct((-x["s"]).alias("s"), x["i"].alias("i"))))
-    best = cut(merged.select("id", F.slice(by_rank, 1, k).alias("best"), "copies"))
+    best = cut(merged.select("id", F.slice(by_rank, 1, k).alias("best")))
     listed = best.select("id", "best").where(F.size("best") > 0)
     short = best.where(F.size("best") < k).select("id")
     n_short = short.count()
     if n_short:
         everywhere = _searched_everywhere(short, distinct, n, n_short, dims, k).select("id", F.slice(by_rank, 1, k).alias("best"))
         listed = listed.where(F.size("best") == k).unionByName(everywhere.where(F.size("best") > 0))
-    # copies beyond those listed: their nearest are the least of their kind
+    # copies beyond those listed: their nearest are the least of their kind, which are the listed one's and itself
     unlisted = encoded.where("copy_of IS NOT NULL").select(F.col("ids")[0].alias("id"), "copy_of")
-    heads = best.where("copies IS NOT NULL").select(F.col("id").alias("copy_of"), "copies")
-    others = unlisted.join(heads, "copy_of").groupBy("id").agg(F.min("copies").alias("copies"))
-    others = others.select("id", F.slice(F.transform(F.array_remove("copies", F.col("id")), lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("i"))), 1, k).alias("best"))
+    kind_of = F.array_sort(F.array_append("best", F.struct(F.lit(-1.0).alias("s"), F.col("copy_of").alias("i"))))
+    others = unlisted.join(listed.withColumnRenamed("id", "copy_of"), "copy_of").select("id", F.slice(kind_of, 1, k).alias("best"))
     whole = listed.unionByName(others)
     return whole.select(F.col("id").alias(key), F.transform("best", lambda x: F.struct((-x["s"]).alias("similarity"), x["i"].alias(key))).alias("neighbours")).select(F.col(key).cast(kind), F.col("neighbours").cast(out.split(", neighbours ", 1)[1]))
 

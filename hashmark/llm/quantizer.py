@@ -45,11 +45,15 @@ def _centres(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
 
 
 def train(sample: np.ndarray, sizes: list[int], rounds: int = 4, seed: int = 7) -> Codebooks:
-    """Each level's words are the centres of what the levels before leave over of the sample."""
+    """Each level's words are the centres of what the levels before leave over of the sample.
+
+    They are rounded and distinct, so that none differ by what single precision can't tell apart, and vectors of one
+    direction get one code.
+    """
     rng = np.random.default_rng(seed)
     left, words = sample.astype(np.float32), []
     for size in sizes:
-        c = _centres(left, size, rounds, rng)
+        c = np.unique(np.round(_centres(left, size, rounds, rng), 3), axis=0)
         words.append(c)
         left = left - c[nearest(left, c)]
     return Codebooks(tuple(words))

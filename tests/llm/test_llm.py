@@ -269,3 +269,27 @@ def test_lists_are_full_where_cells_are_small(spark, monkeypatch):
     want = brute(rows, 5, 12)
     got = {tuple(r) for r in neighbours.nearest_pairs(docs, 5, 12).collect()}
     assert len(got & want) / len(want) > 0.99
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_multiples_of_a_vector_tie(spark, parts):
+    """Many multiples of one vector and a few of others: the least ids are nearest, whichever task holds them."""
+    rng = np.random.default_rng(11)
+    one = rng.standard_normal(96)
+    vectors = [(i, one * (0.3 + i / 7)) for i in range(300)] + [(1000 + i, rng.standard_normal(96)) for i in range(200)]
+    vectors += [(2000 + i, dict(vectors)[1000 + i // 4] * (1.7 + i)) for i in range(40)]
+    rows = [(int(i), [float(np.float32(x)) for x in v]) for i, v in vectors]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<float>").repartition(parts)
+    found = {r.doc_id: [x.doc_id for x in r.neighbours] for r in neighbours.nearest(docs).collect()}
+    for i in range(300):
+        assert found[i] == [j for j in range(6) if j != i][:5]
+    for i in range(40):
+        assert found[2000 + i][:4] == [j for j in (1000 + i // 4, *range(2000 + i // 4 * 4, 2004 + i // 4 * 4)) if j != 2000 + i]
+
+
+def test_multiples_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 30)
+    one = np.random.default_rng(12).standard_normal(96)
+    docs = spark.createDataFrame([(i, [float(np.float32(x)) for x in one * (0.3 + i / 7)]) for i in range(300)], "doc_id long, embedding array<float>").repartition(60)
+    found = {r.doc_id: [x.doc_id for x in r.neighbours] for r in neighbours.nearest(docs).collect()}
+    assert found == {i: [j for j in range(6) if j != i][:5] for i in range(300)}
