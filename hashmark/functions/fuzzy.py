@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +39,19 @@ def _jaro_winkler(a: str, b: str) -> float:
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity by Arrow batches; null where either string is."""
     return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+#: Names are spread over so many blocks; every name asked for visits all of them.
+BLOCKS = 12
+
+
+def alike_names(asked: DataFrame, names: DataFrame, at_least: float = 0.88) -> DataFrame:
+    """``asked``, ``name``, ``similarity``: every pair of distinct values of the columns ``asked`` and ``name`` that is alike enough."""
+    asking = asked.where("asked IS NOT NULL").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    known = names.where("name IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("name"), F.lit(BLOCKS)).cast("int"))
+    a, b = F.length("asked"), F.length("name")
+    # with all letters of the shorter one and its first four shared, Jaro is (2 + shorter / longer) / 3, and 0.4 of the rest is added
+    reach = 0.6 * (2 + F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0))) / 3 + 0.4
+    pairs = asking.join(known, "block").where((reach >= at_least - 1e-9) | (F.col("asked") == F.col("name")))
+    scored = pairs.select("asked", "name", F.round(jaro_winkler("asked", "name"), 9).alias("similarity"))
+    return scored.where(F.col("similarity") >= at_least)

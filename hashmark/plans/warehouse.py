@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.compat import floor_zero, is_true, max_by_known
-from hashmark.functions.fuzzy import jaro_winkler
+from hashmark.functions.fuzzy import alike_names, jaro_winkler
 from hashmark.operators import models, plays, quality, retrieval
 from hashmark.plans.registry import Registry
 from hashmark.sources import store
@@ -392,6 +392,23 @@ def fuzzy_names(spark, d):
     return g.select("short_name", "n", "a", "b", (jaro_winkler("a", "b") >= 0.88).alias("alike"), (jaro_winkler("a", "short_name") >= 0.7).alias("short_alike"))
 
 
+@q(
+    "fuzzy_lookup",
+    """WITH p AS (SELECT short_name, lower(regexp_extract(short_name, '[^.]+$')) AS surname, TRY_CAST(regexp_extract(player_id, '[0-9]+$') AS bigint) AS no FROM dim_player),
+a AS (SELECT DISTINCT substr(surname, 1, 2) || substr(surname, 4, 1) || substr(surname, 3, 1) || substr(surname, 5) AS asked FROM p WHERE no % 20 = 0 AND length(surname) > 3),
+n AS (SELECT short_name, surname, count(*) AS n FROM p WHERE surname <> '' GROUP BY 1, 2)
+SELECT asked, short_name, n, round(jaro_winkler_similarity(asked, surname), 9) AS similarity FROM a, n WHERE round(jaro_winkler_similarity(asked, surname), 9) >= 0.88""",
+)
+def fuzzy_lookup(spark, d):
+    """Misspelt surnames (of players whose number is divisible by 20, third and fourth letter swapped) against all players' surnames."""
+    s = F.col("surname")
+    p = table(spark, d, "dim_player").select("short_name", F.lower(F.regexp_extract("short_name", "[^.]+$", 0)).alias("surname"), F.regexp_extract("player_id", "[0-9]+$", 0).try_cast("long").alias("no"))
+    misspelt = F.concat(F.substring(s, 1, 2), F.substring(s, 4, 1), F.substring(s, 3, 1), F.expr("substring(surname, 5)"))
+    asked = p.where((F.col("no") % 20 == 0) & (F.length(s) > 3)).select(misspelt.alias("asked"))
+    n = p.where(s != "").groupBy("short_name", "surname").agg(F.count(F.lit(1)).alias("n"))
+    return alike_names(asked, n.select(s.alias("name"))).join(n.withColumnRenamed("surname", "name"), "name").select("asked", "short_name", "n", "similarity")
+
+
 @q("exploded_teams", "SELECT team, count(*) AS n FROM (SELECT unnest(teams) AS team FROM documents) GROUP BY 1")
 def exploded_teams(spark, d):
     """Array elements as rows."""

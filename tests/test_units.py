@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashmark.functions.compat import bucket, floor_zero, max_by_known, min_by_known, ratio
+from hashmark.functions.fuzzy import _jaro_winkler, alike_names
 from hashmark.functions.ids import game_key, player_key
 from hashmark.operators import models, plays, quality, retrieval
 from hashmark.sources import store
@@ -117,3 +118,25 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path):
 def test_dead_letters(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("[1]",), ("{",), (None,), ('{"b": 1}',)], "v string")
     assert [r.reason for r in score.decode(df, "v", ["a"]).collect()] == [None, "not an object", "not json", "empty", "missing a"]
+
+
+def test_misspelt_surnames_find_all_alike(spark):
+    """Every pair at 0.88 or more, by brute force; names between the first and the last of a group too."""
+    names = ["mahomes", "mahones", "mahaffey", "mason", "allen", "allan", "al", "kelce", "kelcey", "st. brown", "brown", "browne", "", None, "mahomes"]
+    asked = ["mahommes", "alen", "kelec", "bronw", "al", None, "zz", ""]
+    got = [(r.asked, r.name) for r in alike_names(spark.createDataFrame([(x,) for x in asked], "asked string"), spark.createDataFrame([(x,) for x in names], "name string")).collect()]
+    want = {(a, b) for a in asked for b in names if a is not None and b is not None and _jaro_winkler(a, b) >= 0.88}
+    assert sorted(got) == sorted(want)
+    assert {("mahommes", "mahomes"), ("mahommes", "mahones"), ("alen", "allen")} <= want
+
+
+def test_fuzzy_lookup_finds_the_player(spark, small):
+    """Each misspelt surname meets the one it was made of; nothing is compared with itself alone."""
+    from hashmark.plans import warehouse
+
+    found = warehouse.registry.queries["fuzzy_lookup"](spark, small).collect()
+    assert found and any(r.similarity < 1 for r in found)
+    assert len({r.short_name for r in found}) > 1
+    for asked in {r.asked for r in found}:
+        right = asked[:2] + asked[3] + asked[2] + asked[4:]
+        assert right in {r.short_name.split(".")[-1].lower() for r in found if r.asked == asked}
