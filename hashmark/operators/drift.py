@@ -206,6 +206,40 @@ def alias_table(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[st
     return names.select("field_name", F.coalesce(F.try_element_at(pairs, fold), F.col("field_name")).alias("canonical_name"))
 
 
+def proven_aliases(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[str, list[str]]] | None = None) -> list[tuple[str, str, dict[str, str]]]:
+    """``(feed_name, file_name, {spelling: field})``: what renames prove beyond ``aliases``, for the files of the feeds that have such.
+
+    Renames are chained along each feed, onwards from a spelling that is known and back from one. A spelling stands
+    for what it was last proven to be; spellings of ``aliases`` keep their meaning. Renames are few, so they are chained on the driver.
+    """
+    known = {_folded(s): name for name, (_, spelled) in (aliases or ALIASES).items() for s in spelled}
+    order = cut(files(stg))
+    renamed = changes(stg, dim_team).where("change_kind = 'renamed'").join(order.select("feed_name", "file_name", "seq"), ["feed_name", "file_name"])
+    rows = sorted(tuple(r) for r in renamed.select("feed_name", "seq", "field_name", "former_name").distinct().collect())
+    proven: dict[str, dict[str, list[tuple[int, str]]]] = {}
+
+    def meant(feed: str, name: str, seq: int) -> str | None:
+        spans = [x for x in proven.get(feed, {}).get(name, []) if x[0] <= seq]
+        return known.get(_folded(name)) or (max(spans)[1] if spans else None)
+
+    def learn(feed: str, name: str, start: int, field: str | None) -> None:
+        if field and _folded(name) not in known:
+            proven.setdefault(feed, {}).setdefault(name, []).append((start, field))
+
+    for feed, seq, new, old in rows:
+        learn(feed, new, seq, meant(feed, old, seq - 1))
+    for feed, seq, new, old in reversed(rows):
+        if not meant(feed, old, seq - 1):
+            learn(feed, old, 0, meant(feed, new, seq))
+    if not proven:
+        return []
+    out = []
+    for r in order.where(F.col("feed_name").isin(list(proven))).collect():
+        here = {name: field for name in proven[r.feed_name] if (field := meant(r.feed_name, name, r.seq))}
+        out += [(r.feed_name, r.file_name, here)] if here else []
+    return out
+
+
 def play_type_codes(values: DataFrame, codes: Column) -> DataFrame:
     """What each numeric play type code stands for: the label the same play has most often where it is spelled out."""
     types = values.where(codes).select("game", "play", F.btrim("value").alias("value")).where(F.col("value").isNotNull())
@@ -219,8 +253,9 @@ def play_type_codes(values: DataFrame, codes: Column) -> DataFrame:
 def consistent_plays(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
     """All records of all files in one table with one name and type per field of ``aliases``.
 
-    The casts are generated from the alias table: of a record's spellings of a field the first that holds a
-    value is taken, and a value that its type can't hold becomes null. season is an integer, play_type its
+    The casts are generated from the alias table, and from the spellings that renames prove to be its fields'
+    (``proven_aliases``): of a record's spellings of a field the first that holds a value is taken, those of
+    ``aliases`` first, and a value that its type can't hold becomes null. season is an integer, play_type its
     label; numeric codes are resolved by the plays that other files spell out. Fields of no known spelling
     are kept as text in ``other_fields``. Broken records aren't in the table.
     """
@@ -228,7 +263,16 @@ def consistent_plays(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tup
     recs = records(stg, dim_team)
     fields = F.expr("transform(map_entries(cast(record AS MAP<STRING, VARIANT>)), e -> struct(lower(regexp_replace(e.key, '[^A-Za-z0-9]', '')) AS fold, e.key AS name, try_variant_get(e.value, '$', 'string') AS value))")
     known = [_folded(s) for _, spelled in table.values() for s in spelled] + [_folded(x) for x in RECORD_ID]
-    row = recs.withColumn("_fields", fields)
+    proven = proven_aliases(stg, dim_team, table)
+
+    def with_proven(df: DataFrame) -> DataFrame:
+        """With ``_proven``: the spellings proven for the row's file, and their fields."""
+        if not proven:
+            return df.withColumn("_proven", F.lit(None).cast("map<string,string>"))
+        by_file = df.sparkSession.createDataFrame(proven, "feed_name string, file_name string, _proven map<string,string>")
+        return df.join(by_file, ["feed_name", "file_name"], "left")
+
+    row = with_proven(recs).withColumn("_fields", fields)
 
     def holding(spelling: str):
         return lambda e: (e["fold"] == spelling) & e["value"].isNotNull()
@@ -236,14 +280,19 @@ def consistent_plays(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tup
     def of(name: str) -> Column:
         kind, spelled = table[name]
         tried = [F.get(F.filter("_fields", holding(s)), 0)["value"] for s in dict.fromkeys(map(_folded, spelled))]
+        if proven:
+            tried.append(F.get(F.filter("_fields", lambda e: (F.try_element_at("_proven", e["name"]) == name) & e["value"].isNotNull()), 0)["value"])
         return _typed(F.coalesce(*tried), kind).alias(name)
 
-    others = F.filter("_fields", lambda e: ~e["fold"].isin(known))
+    others = F.filter("_fields", lambda e: ~e["fold"].isin(known) & (F.try_element_at("_proven", e["name"]).isNull() if proven else F.lit(True)))
     flat = row.select(
         "feed_name", "file_name", "line_no", "game", "play", *[of(n) for n in table], F.map_from_entries(F.transform(others, lambda e: F.struct(e["name"], e["value"]))).alias("other_fields")
     )
     kinds = [_folded(s) for s in table["play_type"][1]]
-    codes = play_type_codes(field_values(recs), F.lower(F.regexp_replace("field", "[^A-Za-z0-9]", "")).isin(kinds))
+    is_kind = F.lower(F.regexp_replace("field", "[^A-Za-z0-9]", "")).isin(kinds)
+    if proven:
+        is_kind = is_kind | F.coalesce(F.try_element_at("_proven", F.col("field")) == "play_type", F.lit(False))
+    codes = play_type_codes(with_proven(field_values(recs)), is_kind)
     code = F.col("play_type").try_cast("double").cast("int")
     return (
         flat.join(codes.select(F.col("code").alias("_code"), F.col("label").alias("_label")), code == F.col("_code"), "left")

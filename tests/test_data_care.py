@@ -120,6 +120,28 @@ def test_drift(spark):
     assert drift.change_cases(empty, teams(spark)).count() == 0 and drift.consistent_plays(empty, teams(spark)).count() == 0
 
 
+def test_drift_uses_proven_renames(spark):
+    """Spellings that no list holds are followed along their feed, on from a known one and back from one, and only in it."""
+
+    def file(feed, name, n, season, kind, types, **more):
+        return [(feed, name, day(n), i, json.dumps({"game_id": f"g{i}", "play_id": i, season: 2020 + i, kind: types[i], **more})) for i in range(3)]
+
+    spelled = ["pass", "run", "punt"]
+    rows = [
+        *file("f", "a", 0, "season", "play_type", spelled),
+        *file("f", "b", 1, "saison", "art", spelled),
+        *file("f", "c", 2, "jahr", "art", [1, 2, 3]),
+        *file("g", "x", 0, "anno", "play_type", spelled),
+        *file("g", "y", 1, "season", "play_type", spelled),
+        *file("h", "z", 0, "season", "play_type", spelled, jahr="other"),
+    ]
+    stg = spark.createDataFrame(rows, "feed_name string, file_name string, delivered_at timestamp, line_no int, raw_record string")
+    got = drift.consistent_plays(stg, teams(spark)).collect()
+    assert len(got) == len(rows)
+    assert all(r.season == 2020 + r.line_no and r.play_type == spelled[r.line_no] for r in got)
+    assert all(r.other_fields == ({"jahr": "other"} if r.feed_name == "h" else {}) for r in got)
+
+
 SIDE = "k string, v double, s string, at timestamp, _block int, field_name string"
 
 
