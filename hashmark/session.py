@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +31,54 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, where nothing is named, gets a folder of its own; on a cluster that is an error, as
+    executors would each write to their own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hashmark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lies on, whichever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Kept:
+    """Intermediate results as tables in the shared folder: that cuts the lineage, survives lost executors and lets later steps read single columns.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is set only
-    where neither that setting nor a checkpoint folder exists, which is the case in local tests.
+    A result kept under a name that is taken replaces the one before, which is deleted once the new one is
+    written; so an iteration holds two tables at most. The last tables stay, as lazy results read them.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="hashmark-checkpoint-"))
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.at = f"{shared_folder(spark)}/tables-{uuid.uuid4()}"
+        self.versions: dict[str, int] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        version = self.versions.get(name, 0) + 1
+        path = f"{self.at}/{name}-{version}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.versions[name] = version
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Delete what is kept under the name; nothing may read it any more."""
+        if version := self.versions.pop(name, 0):
+            path, files = hadoop_path(self.spark, f"{self.at}/{name}-{version}")
+            files.delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, its lineage cut."""
+    return Kept(df.sparkSession).keep(df, "t")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hashmark.session import hadoop_path
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with header and declared types."""
@@ -21,9 +21,38 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
     return lines.where("_corrupt IS NULL").drop("_corrupt"), lines.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace only the partitions that ``df`` holds; rows sorted by the partition columns, one file a partition and task."""
+def write_partitions(df: DataFrame, path: str, by: list[str], whole: bool = False) -> None:
+    """Replace only the partitions that ``df`` holds; rows sorted by the partition columns, one file a partition and task.
+
+    With ``whole``, ``df`` is all there is: partitions it doesn't hold are removed afterwards, so that a reader never
+    misses rows that stay.
+    """
     df.repartition(*by).sortWithinPartitions(*by).write.partitionBy(*by).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if whole:
+        spark = df.sparkSession
+        stored = spark.read.parquet(path).select(*by).distinct()
+        on = [F.col(f"a.{c}").cast("string").eqNullSafe(F.col(f"b.{c}").cast("string")) for c in by]
+        gone = stored.alias("a").join(df.select(*by).distinct().alias("b"), on, "left_anti")
+        for r in gone.toLocalIterator():  # partitions, never rows
+            remove_partition(spark, path, {c: r[c] for c in by})
+
+
+def remove_partition(spark: SparkSession, path: str, values: dict) -> None:
+    """Delete one partition's folder."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    null = "__HIVE_DEFAULT_PARTITION__"
+    where, files = hadoop_path(spark, "/".join([path, *(f"{c}={null if v is None else escape(str(v))}" for c, v in values.items())]))
+    files.delete(where, True)
+
+
+def read_partitions(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """The whole partitioned table, or only the files under the sub-paths ``keep`` with their partition columns still there."""
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{k}" for k in keep] or [path])
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Append rows to a log of JSON lines; nulls are written, so that a later reader sees every field."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -35,29 +64,44 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) ->
 
 def publish(df: DataFrame, root: str, version: str) -> str:
     """Write a version beside the live one and then point to it in one rename; readers keep what they have open."""
-    target = os.path.join(root, f"v={version}")
-    df.write.mode("overwrite").parquet(target)
-    pointer = os.path.join(root, "CURRENT")
-    with open(pointer + ".next", "w") as f:
-        f.write(f"v={version}")
-    os.replace(pointer + ".next", pointer)
-    return target
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    jvm = spark._jvm
+    pointer, files = hadoop_path(spark, f"{root}/CURRENT")
+    draft = pointer.suffix(".next")
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(f"v={version}".encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(draft), files.makeQualified(pointer), over)
+    return f"{root}/v={version}"
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The published version."""
-    with open(os.path.join(root, "CURRENT")) as f:
-        return spark.read.parquet(os.path.join(root, f.read().strip()))
+    return spark.read.parquet(f"{root}/" + spark.read.text(f"{root}/CURRENT").first().value.strip())
+
+
+def row_hash(columns: list[str]) -> Column:
+    """A hash of a row that sums without overflow; null and the text of any value differ."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.xxhash64(*parts).cast("decimal(38,0)")
+
 
+def content_hash(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row (one for each value of ``by``): the number of rows and an order-insensitive sum of their hashes, folded on the executors.
 
-def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: the number of rows and an order-insensitive 128-bit hash of them, folded on the executors."""
-    row = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*row)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), *row)).alias("h2"))
+    Repeated rows count each time, so a table isn't taken for one that lacks or repeats some of its rows.
+    """
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(columns)).alias("h"))
 
 
 def changed_partitions(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
-    """Partitions added, removed or changed between two states of content hashes (``by``, ``h``)."""
-    joined = before.select(F.col(by), F.col("h").alias("a")).join(after.select(F.col(by), F.col("h").alias("b")), by, "full_outer")
-    state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    return joined.select(by, state.alias("state")).where("state IS NOT NULL")
+    """Partitions added, removed or changed between two states of content hashes (``by``, ``h``); a null ``by`` is a partition too."""
+    a, b = before.select(F.col(by).alias("_by"), "h", F.lit(True).alias("there")).alias("a"), after.select(F.col(by).alias("_by"), "h", F.lit(True).alias("there")).alias("b")
+    joined = a.join(b, F.col("a._by").eqNullSafe(F.col("b._by")), "full_outer")
+    state = F.when(F.col("a.there").isNull(), "added").when(F.col("b.there").isNull(), "removed").when(F.col("a.h") != F.col("b.h"), "changed")
+    return joined.select(F.coalesce("a._by", "b._by").alias(by), state.alias("state")).where("state IS NOT NULL")

@@ -55,12 +55,44 @@ def test_store(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"a": 1}\n{"a": \nnot json\n{"a": 2}\n')
     good, bad = store.read_json_lines(spark, d + "/log.jsonl", T.StructType([T.StructField("a", T.IntegerType())]))
     assert sorted(r.a for r in good.collect()) == [1, 2] and bad.count() == 2
+    twice = lambda x: x.unionByName(x)
+    assert store.content_hash(twice(week(1, 1)), ["v"]).collect() != store.content_hash(twice(week(1, 8)), ["v"]).collect()
+    store.write_partitions(week(3, 7), d + "/p", ["season", "week"], whole=True)
+    assert {r.week for r in spark.read.parquet(d + "/p").collect()} == {3}
+    assert {tuple(r) for r in store.read_partitions(spark, d + "/p", "season=2020/week=3").select("season", "week", "v").collect()} == {(2020, 3, 7), (2020, 3, 8)}
+    store.append_lines(week(1, 1), d + "/log")
+    store.append_lines(week(2, 5), d + "/log")
+    assert store.read_json_lines(spark, d + "/log", T.StructType([T.StructField("v", T.IntegerType())]))[0].count() == 4
     a, b = week(1, 1), week(1, 1).orderBy(F.desc("v"))
     assert store.content_hash(a, a.columns).collect() == store.content_hash(b, b.columns).collect() != store.content_hash(week(1, 2), a.columns).collect()
     (tmp_path / "t.csv").write_text("team,n\nAAA,1\n")
     assert store.read_csv(spark, d + "/t.csv", "team string, n int").first().n == 1
 
 
+def test_kept_tables_replace_each_other(spark):
+    from hashmark.session import Kept, hadoop_path
+
+    kept = Kept(spark)
+    once = kept.keep(spark.range(3), "x")
+    twice = kept.keep(once.withColumn("id", F.col("id") + 10), "x")
+    assert sorted(r.id for r in twice.collect()) == [10, 11, 12]
+    where, files = hadoop_path(spark, kept.at)
+    assert [s.getPath().getName() for s in files.listStatus(where)] == ["x-2"]
+
+
+def test_no_folder_of_ones_own_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from hashmark.session import shared_folder
+
+    def session(master, named=None, set_dir=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: set_dir))
+
+    assert shared_folder(session("spark://a:1", named="hdfs://x")) == shared_folder(session("spark://a:1", set_dir="hdfs://x")) == "hdfs://x"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://a:1"))
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("a", 1), ("b", 9), (None, None)], "k string, n int")
     got = {r.column_name + r.check_name: r.n_failed for r in quality.report(df, [quality.not_null("k"), quality.in_range("n", 0, 5), quality.accepted("k", ["a"])]).collect()}
