@@ -80,3 +80,9 @@ def p9_composition(spark, sf_dir):
     """The corpus by subject: documents and sentences."""
     counted = subjects.sentence_counts(*tables(spark, sf_dir, "documents", "subject_areas", "subject_labels"))
     return counted.groupBy("subject").agg(F.count_if(subjects.is_subject()).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
+@registry.query("p9_leaves")
+def p9_leaves(spark, sf_dir):
+    """The leaves of the clustering: the terms that label them and their mixtures of subjects."""
+    return subjects.leaf_report(*tables(spark, sf_dir, "documents", "subject_areas", "subject_labels"))
