@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashmark.functions.ids import clean_id, current_team, team_aliases
+from hashmark.session import cut
 
 #: Relative tolerance of numbers, absolute below 1.
 TOLERANCE = 1e-6
@@ -62,7 +63,7 @@ def difference(
     hash of the last keys cuts the rows into chunks of ``chunk_rows`` on average, so a lost or added row moves
     no cuts but those beside it. Chunks whose fingerprint (rows, both ends, two 64-bit hashes of all keys and
     values) the other side has too are settled by an anti-join; only rows of the remaining chunks
-    are brought together by key and compared field by field.
+    are brought together by key and compared field by field. The cut rows are stored, so that they are sorted once.
 
     ``key`` names the output columns and says how to compute them on either side. Of rows with the same key
     the latest ``version`` speaks. Null keys match null keys; null equals only null; NaN counts as null. Either
@@ -81,7 +82,7 @@ def difference(
     key_hash = F.xxhash64(*names)
     rolling = reduce(lambda a, b: a.bitwiseXOR(b), [F.shiftleft(F.coalesce(F.lag(key_hash, i).over(along), F.lit(0)), i) for i in (1, 2, 3)], key_hash)
     row = [*names, *[F.coalesce(_grid(F.col(f), number[f]).cast("string"), F.lit("\x00null")) for f in fields]]
-    chunked = (
+    chunked = cut(
         rows.withColumn("_cut", (F.pmod(rolling, F.lit(chunk_rows)) == 0).cast("int"))
         .withColumn("_chunk", F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_h1", F.xxhash64(*row))
@@ -89,13 +90,13 @@ def difference(
     )
     at = ["_block", "_side", "_chunk"]
     ends = F.struct(*names)
-    prints = chunked.groupBy(*at).agg(
-        F.struct(F.count(F.lit(1)), F.xxhash64(F.min(ends)), F.xxhash64(F.max(ends)), F.bit_xor("_h1"), F.bit_xor("_h2")).alias("_print")
+    prints = cut(
+        chunked.groupBy(*at).agg(F.struct(F.count(F.lit(1)).alias("n"), F.xxhash64(F.min(ends)).alias("a"), F.xxhash64(F.max(ends)).alias("b"), F.bit_xor("_h1").alias("h1"), F.bit_xor("_h2").alias("h2")).alias("_print"))
     )
     others = prints.select("_block", (1 - F.col("_side")).alias("_side"), "_print")
     unmatched = prints.join(others, ["_block", "_side", "_print"], "left_anti").select(*at)
 
-    left = chunked.join(unmatched, at, "left_semi")
+    left = chunked.drop("_h1", "_h2", "_cut").join(unmatched, at, "left_semi")
     values = F.struct(*fields)
     pairs = left.groupBy("_block", *names).agg(F.max(F.when(F.col("_side") == 0, values)).alias("_a"), F.max(F.when(F.col("_side") == 1, values)).alias("_b"))
     changed = F.filter(

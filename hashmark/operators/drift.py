@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.ids import game_key, team_aliases
-from hashmark.session import cut
+from hashmark.session import Kept, cut
 
 #: Fields that name the record and never change.
 RECORD_ID = ("game_id", "play_id")
@@ -36,12 +39,13 @@ ALIASES = {
 }
 
 
-def _folded(name: str) -> str:
+def folded(name: str) -> str:
+    """A spelling by its letters and digits alone."""
     return "".join(ch for ch in name.lower() if ch.isalnum())
 
 
-def records(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
-    """Every record that parses as a JSON object, as a variant, with the game it names and its play id as text."""
+def records(stg: DataFrame, dim_team: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every record that parses as a JSON object, as a variant, with the game it names and its play id as text; of other columns only ``keep``."""
     parsed = stg.withColumn("record", F.try_parse_json("raw_record")).where(F.schema_of_variant("record").startswith("OBJECT"))
     return parsed.select(
         "feed_name",
@@ -49,6 +53,7 @@ def records(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
         "delivered_at",
         "line_no",
         "record",
+        *keep,
         game_key(F.try_variant_get("record", "$.game_id", "string"), team_aliases(dim_team)).alias("game"),
         F.btrim(F.try_variant_get("record", "$.play_id", "string"), F.lit(" \t")).alias("play"),
     )
@@ -61,7 +66,8 @@ def field_values(recs: DataFrame) -> DataFrame:
     """
     raw = recs.lateralJoin(recs.sparkSession.tvf.variant_explode(F.col("record").outer()))
     shape = F.schema_of_variant("value")
-    integral = shape.isin("BIGINT") | shape.rlike(r"^DECIMAL\((19|[23]\d),0\)$")  # a decimal point of a lesser number is lost in its shape
+    # a decimal point of a lesser number is lost in its shape
+    integral = (shape == "BIGINT") | (shape.startswith("DECIMAL") & shape.rlike(r"^DECIMAL\((19|[23]\d),0\)$"))
     kind = (
         F.when(shape == "VOID", F.lit(None).cast("string"))
         .when(shape == "BOOLEAN", "boolean")
@@ -119,34 +125,43 @@ def _edges(cat: DataFrame) -> DataFrame:
     )
 
 
-def changes(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
-    """``feed_name``, ``file_name``, ``change_kind``, ``field_name``, ``former_name``, ``former_type``, ``type``.
+class Drift(NamedTuple):
+    """What the files say of their fields: ``order`` of the files, the ``cat``alogue with its edges, fields that are ``born`` and ``gone``
+    at a file, those ``renamed`` (all that fit), and of each that appeared its best former name (``heirs``)."""
 
-    Renames are proven by values: the field that vanished and the one that appeared hold the same, as text or
-    as numbers, in every play that both files give a value for, and there is at least one. Where several
-    vanished fields fit one that appeared, all of them count as renamed and the one seen in most plays (then the least name) is its
-    former name. A type not known so far (nothing but nulls) is no change of type.
+    order: DataFrame
+    cat: DataFrame
+    born: DataFrame
+    gone: DataFrame
+    renamed: DataFrame
+    heirs: DataFrame
+
+
+def study(stg: DataFrame, dim_team: DataFrame) -> Drift:
+    """Catalogue the files' fields, and prove renames by the values of plays that neighbouring files share.
+
+    All records are read once for the catalogue; only the files at which some field vanished and another appeared are
+    read again, and of their records only those fields.
     """
     order = cut(files(stg))
-    values = field_values(records(stg, dim_team))
-    cat = cut(_edges(catalogue(values, order)))
-    born = cat.where("starts").select("feed_name", "seq", F.col("field").alias("new"), F.col("type").alias("new_type"))
-    gone = cat.where("ends").select("feed_name", (F.col("seq") + 1).alias("seq"), F.col("field").alias("old"), F.col("type").alias("old_type"))
+    cat = cut(_edges(catalogue(field_values(records(stg, dim_team)), order)))
+    born = cat.where("starts").select("feed_name", "seq", F.col("field").alias("new"), F.col("island").alias("new_island"), F.col("type").alias("new_type"))
+    gone = cat.where("ends").select("feed_name", (F.col("seq") + 1).alias("seq"), F.col("field").alias("old"), F.col("island").alias("old_island"), F.col("type").alias("old_type"))
 
-    # only files and fields of which a rename is possible are read again
     pairs = born.join(gone, ["feed_name", "seq"])
     asked = (
         pairs.select("feed_name", "seq", F.col("seq").alias("at_seq"), F.col("new").alias("field"), F.lit(True).alias("is_new"))
         .unionByName(pairs.select("feed_name", "seq", (F.col("seq") - 1).alias("at_seq"), F.col("old").alias("field"), F.lit(False).alias("is_new")))
-        .distinct()
+        .groupBy("feed_name", "at_seq")
+        .agg(F.collect_set(F.struct("seq", "is_new", "field")).alias("asked"))
         .join(order.select("feed_name", F.col("seq").alias("at_seq"), "file_name"), ["feed_name", "at_seq"])
+        .select("feed_name", "file_name", "asked")
     )
-    held = cut(
-        values.where(F.col("kind").isNotNull() & F.col("game").isNotNull() & F.col("play").isNotNull())
-        .join(asked, ["feed_name", "file_name", "field"])
-        .select("feed_name", "seq", "is_new", "game", "play", "field", F.btrim("value", F.lit(" \t\r\n")).alias("value"))
-        .distinct()
-    )
+    read_again = records(stg.join(cut(asked), ["feed_name", "file_name"]), dim_team, ("asked",)).where(F.col("game").isNotNull() & F.col("play").isNotNull())
+    each = read_again.select("feed_name", "game", "play", F.expr("cast(record AS MAP<STRING, VARIANT>)").alias("held"), F.explode("asked").alias("a"))
+    value = F.expr("try_variant_get(try_element_at(held, a.field), '$', 'string')")
+    found = each.select("feed_name", "a.*", "game", "play", F.btrim(value, F.lit(" \t\r\n")).alias("value")).where("value IS NOT NULL").distinct()
+    held = cut(found)
     news = held.where("is_new").drop("is_new").withColumnsRenamed({"field": "new", "value": "new_value"})
     olds = held.where("NOT is_new").drop("is_new").withColumnsRenamed({"field": "old", "value": "old_value"})
     same = (F.col("new_value") == F.col("old_value")) | (F.col("new_value").try_cast("double") == F.col("old_value").try_cast("double"))
@@ -160,7 +175,18 @@ def changes(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
     )
     best = Window.partitionBy("feed_name", "seq", "new").orderBy(F.desc("n"), "old")
     heirs = renamed.withColumn("rank", F.row_number().over(best)).where("rank = 1").withColumn("new_type", F.coalesce("new_type", "old_type"))
+    return Drift(order, cat, born, gone, renamed, heirs)
+
+
+def changes(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
+    """``feed_name``, ``file_name``, ``change_kind``, ``field_name``, ``former_name``, ``former_type``, ``type``.
 
+    Renames are proven by values: the field that vanished and the one that appeared hold the same, as text or
+    as numbers, in every play that both files give a value for, and there is at least one. Where several
+    vanished fields fit one that appeared, all of them count as renamed and the one seen in most plays (then the least name) is its
+    former name. A type not known so far (nothing but nulls) is no change of type.
+    """
+    order, cat, born, gone, renamed, heirs = study(stg, dim_team)
     out = ["feed_name", "seq", "change_kind", "field_name", "former_name", "former_type", "type"]
     none = F.lit(None).cast("string")
     unlike = F.col("former_type") != F.col("type")
@@ -193,109 +219,96 @@ def label(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.btrim(c, F.lit(" \t\r\n"))), r"[\s-]+", "_"), F.lit(""))
 
 
-def alias_table(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
-    """``field_name``, ``canonical_name``: every spelling in the files and the field of the consistent table it belongs to.
-
-    Spellings count as the same when letters and digits agree in any case; names that ``aliases`` doesn't hold
-    stand for themselves.
-    """
-    known = {_folded(s): name for name, (_, spelled) in (aliases or ALIASES).items() for s in spelled}
+def _known_field(name: Column, aliases: dict[str, tuple[str, list[str]]]) -> Column:
+    """The field of the consistent table that a spelling stands for, letters and digits in any case; null where ``aliases`` lacks it."""
+    known = {folded(s): field for field, (_, spelled) in aliases.items() for s in spelled}
     pairs = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    names = field_values(records(stg, dim_team)).where(F.col("field").isNotNull()).select(F.col("field").alias("field_name")).distinct()
-    fold = F.lower(F.regexp_replace("field_name", "[^A-Za-z0-9]", ""))
-    return names.select("field_name", F.coalesce(F.try_element_at(pairs, fold), F.col("field_name")).alias("canonical_name"))
+    return F.try_element_at(pairs, F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", "")))
 
 
-def proven_aliases(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[str, list[str]]] | None = None) -> list[tuple[str, str, dict[str, str]]]:
-    """``(feed_name, file_name, {spelling: field})``: what renames prove beyond ``aliases``, for the files of the feeds that have such.
+def alias_table(drift: Drift, aliases: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+    """``feed_name``, ``file_name``, ``field_name``, ``canonical_name``: for each file's fields the one of the consistent table, null where none.
 
-    Renames are chained along each feed, onwards from a spelling that is known and back from one. A spelling stands
-    for what it was last proven to be; spellings of ``aliases`` keep their meaning. Renames are few, so they are chained on the driver.
+    A field's unbroken stretch of files and the stretches that it was renamed from and to are one field. What it is, is
+    said by the spellings of it that ``aliases`` knows (of several the one met first, then the least); a known spelling keeps its own meaning. The
+    renames are a forest, in which every stretch finds its root by doubling its steps, so chains of any length take few rounds.
     """
-    known = {_folded(s): name for name, (_, spelled) in (aliases or ALIASES).items() for s in spelled}
-    order = cut(files(stg))
-    renamed = changes(stg, dim_team).where("change_kind = 'renamed'").join(order.select("feed_name", "file_name", "seq"), ["feed_name", "file_name"])
-    rows = sorted(tuple(r) for r in renamed.select("feed_name", "seq", "field_name", "former_name").distinct().collect())
-    proven: dict[str, dict[str, list[tuple[int, str]]]] = {}
-
-    def meant(feed: str, name: str, seq: int) -> str | None:
-        spans = [x for x in proven.get(feed, {}).get(name, []) if x[0] <= seq]
-        return known.get(_folded(name)) or (max(spans)[1] if spans else None)
-
-    def learn(feed: str, name: str, start: int, field: str | None) -> None:
-        if field and _folded(name) not in known:
-            proven.setdefault(feed, {}).setdefault(name, []).append((start, field))
-
-    for feed, seq, new, old in rows:
-        learn(feed, new, seq, meant(feed, old, seq - 1))
-    for feed, seq, new, old in reversed(rows):
-        if not meant(feed, old, seq - 1):
-            learn(feed, old, 0, meant(feed, new, seq))
-    if not proven:
-        return []
-    out = []
-    for r in order.where(F.col("feed_name").isin(list(proven))).collect():
-        here = {name: field for name in proven[r.feed_name] if (field := meant(r.feed_name, name, r.seq))}
-        out += [(r.feed_name, r.file_name, here)] if here else []
-    return out
-
-
-def play_type_codes(values: DataFrame, codes: Column) -> DataFrame:
-    """What each numeric play type code stands for: the label the same play has most often where it is spelled out."""
-    types = values.where(codes).select("game", "play", F.btrim("value").alias("value")).where(F.col("value").isNotNull())
-    is_code = F.col("value").try_cast("int").isNotNull()
-    spelled = types.where(~is_code).select("game", "play", label(F.col("value")).alias("label"))
-    coded = types.where(is_code).select("game", "play", F.col("value").try_cast("int").alias("code"))
-    votes = coded.join(spelled, ["game", "play"]).groupBy("code", "label").agg(F.count(F.lit(1)).alias("n"))
+    table = aliases or ALIASES
+    node = lambda feed, field, island: F.struct(F.col(feed).alias("feed"), F.col(field).alias("field"), F.col(island).alias("island"))
+    steps = drift.heirs.select(node("feed_name", "new", "new_island").alias("node"), node("feed_name", "old", "old_island").alias("up"))
+    kept = Kept(drift.cat.sparkSession)
+    ups = kept.keep(steps, "ups")
+    while True:
+        further = ups.alias("a").join(ups.alias("b"), F.col("a.up") == F.col("b.node"), "left")
+        ups = kept.keep(further.select("a.node", F.coalesce("b.up", "a.up").alias("up"), F.col("b.up").isNotNull().alias("moved")), "ups")
+        if not ups.where("moved").limit(1).count():
+            break
+        ups = ups.drop("moved")
+    stretches = drift.cat.groupBy(node("feed_name", "field", "island").alias("node")).agg(F.min("seq").alias("first_seq"))
+    rooted = stretches.join(ups.drop("moved"), "node", "left").select("node", "first_seq", F.coalesce("up", "node").alias("root"), _known_field(F.col("node.field"), table).alias("known"))
+    meant = rooted.where("known IS NOT NULL").groupBy("root").agg(F.min_by("known", F.struct("first_seq", "known")).alias("meaning"))
+    named = rooted.join(meant, "root", "left").select("node", F.coalesce("known", "meaning").alias("canonical_name"))
+    of_file = drift.cat.select("feed_name", "file_name", F.col("field").alias("field_name"), node("feed_name", "field", "island").alias("node"))
+    return of_file.join(named, "node").select("feed_name", "file_name", "field_name", "canonical_name")
+
+
+def proven_aliases(drift: Drift, aliases: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+    """``feed_name``, ``file_name``, ``_proven`` (spelling to field): what renames prove beyond ``aliases``, for the files that have such."""
+    beyond = alias_table(drift, aliases).where(F.col("canonical_name").isNotNull() & _known_field(F.col("field_name"), aliases or ALIASES).isNull())
+    return beyond.groupBy("feed_name", "file_name").agg(F.map_from_entries(F.collect_set(F.struct("field_name", "canonical_name"))).alias("_proven"))
+
+
+def play_type_codes(types: DataFrame) -> DataFrame:
+    """What each numeric play type code stands for: the label the same play has most often where it is spelled out.
+
+    ``types``: ``game``, ``play``, ``value``.
+    """
+    known = types.where("value IS NOT NULL AND game IS NOT NULL AND play IS NOT NULL")
+    number = _typed(F.col("value"), "int")
+    votes = (
+        known.where(number.isNotNull()).groupBy("game", "play", number.alias("code")).agg(F.count(F.lit(1)).alias("m"))
+        .join(known.where(F.col("value").try_cast("double").isNull()).groupBy("game", "play", label(F.col("value")).alias("label")).agg(F.count(F.lit(1)).alias("n")), ["game", "play"])
+        .groupBy("code", "label")
+        .agg(F.sum(F.col("m") * F.col("n")).alias("n"))
+    )
     return votes.groupBy("code").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
 
 
 def consistent_plays(stg: DataFrame, dim_team: DataFrame, aliases: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
     """All records of all files in one table with one name and type per field of ``aliases``.
 
-    The casts are generated from the alias table, and from the spellings that renames prove to be its fields'
-    (``proven_aliases``): of a record's spellings of a field the first that holds a value is taken, those of
+    The casts are generated from the alias table: the spellings of ``aliases``, and those that renames prove to be its fields'
+    (``proven_aliases``). Of a record's spellings of a field the first that holds a value is taken, those of
     ``aliases`` first, and a value that its type can't hold becomes null. season is an integer, play_type its
     label; numeric codes are resolved by the plays that other files spell out. Fields of no known spelling
     are kept as text in ``other_fields``. Broken records aren't in the table.
     """
     table = aliases or ALIASES
-    recs = records(stg, dim_team)
+    proven = cut(proven_aliases(study(stg, dim_team), table))
+    recs = records(stg.join(proven, ["feed_name", "file_name"], "left"), dim_team, ("_proven",))
     fields = F.expr("transform(map_entries(cast(record AS MAP<STRING, VARIANT>)), e -> struct(lower(regexp_replace(e.key, '[^A-Za-z0-9]', '')) AS fold, e.key AS name, try_variant_get(e.value, '$', 'string') AS value))")
-    known = [_folded(s) for _, spelled in table.values() for s in spelled] + [_folded(x) for x in RECORD_ID]
-    proven = proven_aliases(stg, dim_team, table)
-
-    def with_proven(df: DataFrame) -> DataFrame:
-        """With ``_proven``: the spellings proven for the row's file, and their fields."""
-        if not proven:
-            return df.withColumn("_proven", F.lit(None).cast("map<string,string>"))
-        by_file = df.sparkSession.createDataFrame(proven, "feed_name string, file_name string, _proven map<string,string>")
-        return df.join(by_file, ["feed_name", "file_name"], "left")
+    known = [folded(s) for _, spelled in table.values() for s in spelled] + [folded(x) for x in RECORD_ID]
+    row = recs.withColumn("_fields", fields)
 
-    row = with_proven(recs).withColumn("_fields", fields)
+    def first(holds: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter("_fields", lambda e: holds(e) & e["value"].isNotNull()), 0)["value"]
 
-    def holding(spelling: str):
-        return lambda e: (e["fold"] == spelling) & e["value"].isNotNull()
+    def spelled_as(spelling: str) -> Column:
+        return first(lambda e: e["fold"] == spelling)
 
     def of(name: str) -> Column:
-        kind, spelled = table[name]
-        tried = [F.get(F.filter("_fields", holding(s)), 0)["value"] for s in dict.fromkeys(map(_folded, spelled))]
-        if proven:
-            tried.append(F.get(F.filter("_fields", lambda e: (F.try_element_at("_proven", e["name"]) == name) & e["value"].isNotNull()), 0)["value"])
-        return _typed(F.coalesce(*tried), kind).alias(name)
+        return F.coalesce(*map(spelled_as, dict.fromkeys(map(folded, table[name][1]))), first(lambda e: F.try_element_at("_proven", e["name"]) == name))
 
-    others = F.filter("_fields", lambda e: ~e["fold"].isin(known) & (F.try_element_at("_proven", e["name"]).isNull() if proven else F.lit(True)))
+    others = F.filter("_fields", lambda e: ~e["fold"].isin(known) & F.try_element_at("_proven", e["name"]).isNull())
+    kind_text = F.btrim(of("play_type"), F.lit(" \t\r\n"))
     flat = row.select(
-        "feed_name", "file_name", "line_no", "game", "play", *[of(n) for n in table], F.map_from_entries(F.transform(others, lambda e: F.struct(e["name"], e["value"]))).alias("other_fields")
-    )
-    kinds = [_folded(s) for s in table["play_type"][1]]
-    is_kind = F.lower(F.regexp_replace("field", "[^A-Za-z0-9]", "")).isin(kinds)
-    if proven:
-        is_kind = is_kind | F.coalesce(F.try_element_at("_proven", F.col("field")) == "play_type", F.lit(False))
-    codes = play_type_codes(with_proven(field_values(recs)), is_kind)
-    code = F.col("play_type").try_cast("double").cast("int")
+        "feed_name", "file_name", "line_no", "game", "play", *[(kind_text if n == "play_type" else _typed(of(n), table[n][0])).alias(n) for n in table],
+        F.map_from_entries(F.transform(others, lambda e: F.struct(e["name"], e["value"]))).alias("other_fields"),
+    )
+    codes = play_type_codes(flat.select("game", "play", F.col("play_type").alias("value")))
+    number, code = F.col("play_type").try_cast("double"), _typed(F.col("play_type"), "int")
     return (
         flat.join(codes.select(F.col("code").alias("_code"), F.col("label").alias("_label")), code == F.col("_code"), "left")
-        .withColumn("play_type", F.coalesce("_label", F.when(code.isNull(), label(F.col("play_type")))))
+        .withColumn("play_type", F.coalesce("_label", F.when(number.isNull(), label(F.col("play_type")))))
         .drop("_code", "_label")
     )

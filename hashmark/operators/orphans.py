@@ -68,9 +68,8 @@ def classify(references: DataFrame, parents: DataFrame, parts: int = 1024) -> Da
     )
 
 
-def play_references(plays: DataFrame, dim_team: DataFrame) -> DataFrame:
+def play_references(plays: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """What the plays refer to: one row for each play row and referring field that holds a reference."""
-    aliases = team_aliases(dim_team)
     fields = {
         "game_id": ("game", game_key(F.col("game_id"), aliases)),
         "passer_player_id": ("player", player_key(F.col("passer_player_id"))),
@@ -84,9 +83,8 @@ def play_references(plays: DataFrame, dim_team: DataFrame) -> DataFrame:
     )
 
 
-def play_parents(dim_game: DataFrame, dim_player: DataFrame, dim_team: DataFrame) -> DataFrame:
+def play_parents(dim_game: DataFrame, dim_player: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """The stays of games and players under the ids that references are compared by."""
-    aliases = team_aliases(dim_team)
     stay = [F.col("loaded_at").alias("valid_from"), F.col("removed_at").alias("valid_to")]
     games = dim_game.select(F.lit("game").alias("target"), game_key(F.col("game_id"), aliases).alias("ref_key"), *stay)
     players = dim_player.select(F.lit("player").alias("target"), player_key(F.col("player_id")).alias("ref_key"), *stay)
@@ -98,11 +96,13 @@ def orphan_cases(plays: DataFrame, dim_game: DataFrame, dim_player: DataFrame, d
 
     A play row that repeats counts once; a null play_key is a key like others.
     """
-    found = classify(play_references(plays, dim_team), play_parents(dim_game, dim_player, dim_team))
+    aliases = team_aliases(dim_team)
+    found = classify(play_references(plays, aliases), play_parents(dim_game, dim_player, aliases))
     return found.where(F.col("status") != RESOLVED).select("play_key", "ref_field").distinct()
 
 
 def orphan_report(plays: DataFrame, dim_game: DataFrame, dim_player: DataFrame, dim_team: DataFrame) -> DataFrame:
     """References per referring field, season (null where unknown) and status, resolved ones included."""
-    found = classify(play_references(plays, dim_team), play_parents(dim_game, dim_player, dim_team))
+    aliases = team_aliases(dim_team)
+    found = classify(play_references(plays, aliases), play_parents(dim_game, dim_player, aliases))
     return found.groupBy("ref_field", "season", "status").agg(F.count(F.lit(1)).alias("n_references"))

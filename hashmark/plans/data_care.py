@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from hashmark.operators import delivery, diff, drift, orphans
 from hashmark.plans.registry import Registry
 from hashmark.sources.tables import tables
@@ -129,17 +131,57 @@ def p5_found(spark, sf_dir):
     return drift.change_cases(*tables(spark, sf_dir, "stg_plays", "dim_team"))
 
 
-@registry.query("p5_lifespans")
+@registry.query(
+    "p5_lifespans",
+    _DRIFT
+    + f"""SELECT feed_name, field, {drift.KINDS}[kind] AS type, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_files
+FROM (SELECT *, seq - row_number() OVER (PARTITION BY feed_name, field, kind ORDER BY seq) AS stretch FROM cat) GROUP BY feed_name, field, kind, stretch""",
+)
 def p5_lifespans(spark, sf_dir):
     """Where each field of a feed has which type: the unbroken stretches of files."""
     stg, teams = tables(spark, sf_dir, "stg_plays", "dim_team")
-    return drift.lifespans(drift.catalogue(drift.field_values(drift.records(stg, teams)), drift.files(stg)))
+    spans = drift.lifespans(drift.catalogue(drift.field_values(drift.records(stg, teams)), drift.files(stg)))
+    return spans.withColumns({c: spans[c].cast("long") for c in ("first_seq", "last_seq")})
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _held(name: str) -> str:
+    """The first value that a record holds under one of the field's spellings, as text."""
+    spelled = dict.fromkeys(map(drift.folded, drift.ALIASES[name][1]))
+    return f"trim(coalesce({', '.join(f"list_filter(fs, lambda e: e.fold = '{x}' AND e.v IS NOT NULL)[1].v" for x in spelled)}), {_WS})"
+
+
+def _cast(name: str) -> str:
+    kind = drift.ALIASES[name][0]
+    if kind == "int":
+        return f"CASE WHEN try_cast({name} AS DOUBLE) = floor(try_cast({name} AS DOUBLE)) THEN try_cast(try_cast({name} AS DOUBLE) AS INTEGER) END AS {name}"
+    if kind == "boolean":
+        return f"CASE WHEN lower({name}) IN ('true', 'y', 'yes', 't', '1') THEN true WHEN lower({name}) IN ('false', 'n', 'no', 'f', '0') THEN false END AS {name}"
+    return f"try_cast({name} AS DOUBLE) AS {name}" if kind == "double" else name
+
+
+_LABEL = "nullif(regexp_replace(lower({c}), '[\\s-]+', '_', 'g'), '')"
+_SPELLED = [drift.folded(x) for _, spelled in drift.ALIASES.values() for x in spelled] + [drift.folded(x) for x in drift.RECORD_ID]
+_CONSISTENT = f"""WITH {_ALIASES},
+fields AS (SELECT feed_name, file_name, line_no, {_game("j ->> '$.game_id'")} AS game, trim(j ->> '$.play_id', ' ' || chr(9)) AS play,
+  list_transform(list_sort(json_keys(j)), lambda k: {{'fold': lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')), 'v': j ->> ('$."' || k || '"')}}) AS fs
+  FROM (SELECT *, CAST(raw_record AS JSON) AS j FROM stg_plays WHERE CASE WHEN json_valid(raw_record) THEN json_type(raw_record) = 'OBJECT' ELSE false END), aliases),
+texts AS (SELECT feed_name, file_name, line_no, game, play, {', '.join(f'{_held(n)} AS {n}' for n in drift.ALIASES)}, len(list_filter(fs, lambda e: e.fold NOT IN {tuple(_SPELLED)})) AS n_other FROM fields),
+votes AS (SELECT CAST(c.code AS INTEGER) AS code, l.label, count(*) AS n FROM (SELECT game, play, try_cast(play_type AS DOUBLE) AS code FROM texts) c
+  JOIN (SELECT game, play, {_LABEL.format(c='play_type')} AS label FROM texts WHERE try_cast(play_type AS DOUBLE) IS NULL AND play_type IS NOT NULL) l USING (game, play) WHERE c.code = floor(c.code) GROUP BY 1, 2),
+codes AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC, label DESC) = 1)
+SELECT feed_name, file_name, line_no, game, play, {', '.join(_cast(n) for n in drift.ALIASES if n != 'play_type')},
+  coalesce(codes.label, CASE WHEN try_cast(play_type AS DOUBLE) IS NULL THEN {_LABEL.format(c='play_type')} END) AS play_type, n_other
+FROM texts LEFT JOIN codes ON try_cast(play_type AS DOUBLE) = codes.code"""
 
 
-@registry.query("p5_plays")
+@registry.query("p5_plays", _CONSISTENT)
 def p5_plays(spark, sf_dir):
-    """All raw files in one table, one name and type per field."""
-    return drift.consistent_plays(*tables(spark, sf_dir, "stg_plays", "dim_team"))
+    """All raw files in one table, one name and type per field; of the fields beyond those agreed on their number."""
+    plays = drift.consistent_plays(*tables(spark, sf_dir, "stg_plays", "dim_team"))
+    return plays.withColumn("n_other", F.size("other_fields").cast("long")).drop("other_fields")
 
 
 def _side(name: str, version: str) -> str:
