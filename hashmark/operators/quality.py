@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,65 @@ def examples(df: DataFrame, checks: list[Check]) -> DataFrame:
     return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def failures(df: DataFrame, checks: list[Check], n_examples: int = 3) -> DataFrame:
+    """``check_name``, ``column_name``, ``n_failed``, ``n_rows``, ``examples``: every check of a table in one pass, with the least
+    few (as text) of the distinct values that fail. Failing values are counted by value before they meet, so
+    a task never holds more than what fails; a table that breaks its contract everywhere has many.
+    """
+    fails = [F.coalesce(c.fails, F.lit(False)) for c in checks]
+    hits = F.array(*[F.when(f, F.struct(F.lit(i).alias("i"), F.col(c.column).cast("string").alias("value"))) for i, (c, f) in enumerate(zip(checks, fails))])
+    failing = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("f")).groupBy("f.i", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("i").orderBy(F.col("value").asc_nulls_last())
+    ranked = failing.withColumn("r", F.row_number().over(order))
+    by_check = ranked.groupBy("i").agg(F.sum("n").alias("n_failed"), F.array_sort(F.collect_list(F.when(F.col("r") <= n_examples, F.col("value")))).alias("examples"))
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("check_name"), F.lit(c.column).alias("column_name")) for i, c in enumerate(checks)])
+    named = df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(rows).alias("c")).select("n_rows", "c.*")
+    joined = named.join(F.broadcast(by_check), "i", "left")
+    return joined.select("check_name", "column_name", F.coalesce("n_failed", F.lit(0)).alias("n_failed"), "n_rows", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def volume(rows: DataFrame, by: list[str], group: str, arrived: str, small: int = 100, large: int = 300, mean: tuple[float, float] = (145, 225), change: float = 0.05) -> DataFrame:
+    """Per ``by`` the groups with too few and too many rows, whether the mean lies in its band, and whether all that was
+    delivered by now is within ``change`` of what came first."""
+    first = rows.groupBy(*by).agg(F.min(arrived).alias("_first"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    marked = rows.alias("a").join(first.alias("b"), on).select("a.*", (F.col(arrived) == F.col("_first")).alias("_is_first"))
+    groups = marked.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"), F.count_if("_is_first").alias("n_first"))
+    n = F.sum("n")
+    return groups.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_games"),
+        n.alias("n_rows"),
+        F.count_if(F.col("n") < small).alias("n_small"),
+        F.count_if(F.col("n") > large).alias("n_large"),
+        (n / F.count(F.lit(1))).between(*mean).alias("mean_in_band"),
+        (F.abs(n / F.sum("n_first") - 1) <= change).alias("like_first_delivery"),
+    )
+
+
+def current_season(day: Column) -> Column:
+    """The season a day belongs to: a season is named for the year it begins in, and ends with February."""
+    return F.year(day) - F.when(F.month(day) >= 3, 0).otherwise(1)
+
+
+def freshness(games: DataFrame, ingested: DataFrame, today: Column, grace: int = 2, margin: int = 7) -> DataFrame:
+    """One row a week of the season that ``today`` lies in: is it complete, how many results are overdue, do we hold any of it, and
+    why it is stale (null: it isn't, or the season isn't on).
+
+    ``games``: game_id, season, week, game_date, home_margin (null: no result); ``ingested``: the game_id of what is held.
+    """
+    day = F.col("game_date").cast("date")
+    now = games.withColumn("_today", today).where(F.col("season") == current_season(F.col("_today")))
+    bounds = Window.partitionBy("season")
+    season = now.groupBy("season", "week", "_today").agg(F.min(day).alias("_from"), F.max(day).alias("last_game"), F.bool_and(F.col("home_margin").isNotNull()).alias("complete"), F.count_if(F.col("home_margin").isNull() & (day <= F.date_sub("_today", grace))).alias("overdue"))
+    held = now.join(ingested.distinct(), "game_id", "left_semi").select("week", F.lit(True).alias("_held")).distinct()
+    # a season has a few weeks only
+    on = F.col("_today").between(F.date_sub(F.min("_from").over(bounds), margin), F.date_add(F.max("last_game").over(bounds), margin))
+    known = season.withColumn("in_season", on).join(held, "week", "left").withColumn("ingested", F.coalesce("_held", F.lit(False)))
+    late = F.col("complete") & (F.col("last_game") <= F.date_sub("_today", grace)) & ~F.col("ingested")
+    stale = F.when(~F.col("in_season"), F.lit(None)).when(late, "not ingested").when(F.col("overdue") > 0, "source is behind")
+    return known.select("season", "week", "last_game", "complete", "overdue", "ingested", "in_season", stale.alias("stale"))
+
+
 def schema_differences(df: DataFrame, expected: T.StructType, strict: bool = True) -> list[str]:
     """How a table's columns differ from those agreed on, in words; columns beyond those count only if ``strict``, as does their order."""
     have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in expected}
@@ -106,10 +165,12 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def not_constant(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Groups in which a column that should be the same throughout isn't."""
-    kinds = df.groupBy(key).agg(*[F.countDistinct(c).alias(c) for c in columns])
-    pairs = F.filter(F.array(*[F.when(F.col(c) > 1, F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+def not_constant(df: DataFrame, key: str, columns: list[str], nulls: bool = False) -> DataFrame:
+    """Groups in which a column that should be the same throughout isn't; with ``nulls`` null is a value like others."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("<null>")) if nulls else F.col(c)
+    # the least and the greatest tell whether there are two: no set of values is held
+    kinds = df.groupBy(key).agg(*[F.min(text(c)).alias(f"a{i}") for i, c in enumerate(columns)], *[F.max(text(c)).alias(f"b{i}") for i, c in enumerate(columns)])
+    pairs = F.filter(F.array(*[F.when(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(c)) for i, c in enumerate(columns)]), lambda x: x.isNotNull())
     return kinds.select(key, F.explode(pairs).alias("column_name"))
 
 

@@ -12,28 +12,28 @@ registry = Registry()
 
 #: The id rule in SQL: {c} is the id, the parts of a game id are looked up among former club codes.
 _CLEAN = "upper(replace(trim({c}, ' ' || chr(9)), '-', '_'))"
-_ALIASES = f"""aliases AS (SELECT map(list(f), list(t)) AS m FROM (
+ALIASES_CTE = f"""aliases AS (SELECT map(list(f), list(t)) AS m FROM (
   SELECT {_CLEAN.format(c='former_team')} AS f, min({_CLEAN.format(c='team')}) AS t FROM dim_team WHERE trim(former_team) <> '' GROUP BY 1))"""
 
 
-def _game(c: str) -> str:
+def game_sql(c: str) -> str:
     clean = _CLEAN.format(c=c)
     return f"CASE WHEN {clean} <> '' THEN array_to_string(list_transform(string_split({clean}, '_'), lambda p: coalesce(m[p], p)), '_') END"
 
 
-def _player(c: str) -> str:
+def player_sql(c: str) -> str:
     clean = _CLEAN.format(c=c)
     return f"CASE WHEN {clean} NOT IN ('', 'NA', 'NULL', 'NONE', 'UNKNOWN') THEN {clean} END"
 
 
-_REFS = f"""WITH {_ALIASES},
+_REFS = f"""WITH {ALIASES_CTE},
 refs AS (
-  SELECT play_key, season, loaded_at AS t, 'game_id' AS ref_field, 'game' AS target, {_game('game_id')} AS k FROM fact_plays, aliases
-  UNION ALL SELECT play_key, season, loaded_at, 'passer_player_id', 'player', {_player('passer_player_id')} FROM fact_plays
-  UNION ALL SELECT play_key, season, loaded_at, 'receiver_player_id', 'player', {_player('receiver_player_id')} FROM fact_plays),
+  SELECT play_key, season, loaded_at AS t, 'game_id' AS ref_field, 'game' AS target, {game_sql('game_id')} AS k FROM fact_plays, aliases
+  UNION ALL SELECT play_key, season, loaded_at, 'passer_player_id', 'player', {player_sql('passer_player_id')} FROM fact_plays
+  UNION ALL SELECT play_key, season, loaded_at, 'receiver_player_id', 'player', {player_sql('receiver_player_id')} FROM fact_plays),
 parents AS (
-  SELECT 'game' AS target, {_game('game_id')} AS k, loaded_at AS a, removed_at AS b FROM dim_game, aliases
-  UNION ALL SELECT 'player', {_player('player_id')}, loaded_at, removed_at FROM dim_player),
+  SELECT 'game' AS target, {game_sql('game_id')} AS k, loaded_at AS a, removed_at AS b FROM dim_game, aliases
+  UNION ALL SELECT 'player', {player_sql('player_id')}, loaded_at, removed_at FROM dim_player),
 judged AS (
   SELECT r.*, EXISTS (SELECT 1 FROM parents p WHERE p.target = r.target AND p.k = r.k AND p.a <= r.t AND (p.b IS NULL OR p.b > r.t)) AS there,
     EXISTS (SELECT 1 FROM parents p WHERE p.target = r.target AND p.k = r.k) AS known,
@@ -59,8 +59,8 @@ def p1_report(spark, sf_dir):
     return orphans.orphan_report(*tables(spark, sf_dir, "fact_plays", "dim_game", "dim_player", "dim_team"))
 
 
-_FEED = f"""WITH {_ALIASES},
-named AS (SELECT feed.*, {_game('game_id')} AS game_key FROM feed, aliases),
+_FEED = f"""WITH {ALIASES_CTE},
+named AS (SELECT feed.*, {game_sql('game_id')} AS game_key FROM feed, aliases),
 marked AS (SELECT *, game_key IS NOT NULL AND sequence_no IS NOT NULL AND row_number() OVER (
   PARTITION BY game_key, sequence_no ORDER BY received_at DESC NULLS LAST, msg_offset DESC, partition_no DESC) > 1 AS is_copy FROM named)
 """
@@ -85,7 +85,7 @@ def p4_games(spark, sf_dir):
     "p4_summary",
     _FEED
     + f""", counted AS (SELECT game_key, count(*) FILTER (WHERE NOT coalesce(is_final, false)) AS n_plays FROM marked WHERE NOT is_copy GROUP BY 1),
-told AS (SELECT {_game('game_id')} AS game_key, plays, summarized_at FROM summary, aliases),
+told AS (SELECT {game_sql('game_id')} AS game_key, plays, summarized_at FROM summary, aliases),
 latest AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY game_key ORDER BY summarized_at DESC NULLS LAST, plays DESC NULLS LAST) = 1)
 SELECT game_key, plays AS reported_plays, coalesce(n_plays, 0) AS n_plays FROM latest LEFT JOIN counted USING (game_key) WHERE game_key IS NOT NULL""",
 )
@@ -94,12 +94,12 @@ def p4_summary(spark, sf_dir):
     return delivery.summary_corrections(*tables(spark, sf_dir, "summary", "feed", "dim_team"))
 
 
-_DRIFT = f"""WITH {_ALIASES},
+_DRIFT = f"""WITH {ALIASES_CTE},
 recs AS (SELECT feed_name, file_name, line_no, CAST(raw_record AS JSON) AS j FROM stg_plays
   WHERE CASE WHEN json_valid(raw_record) THEN json_type(raw_record) = 'OBJECT' ELSE false END),
 files AS (SELECT feed_name, file_name, row_number() OVER (PARTITION BY feed_name ORDER BY delivered_at, file_name) AS seq FROM (
   SELECT feed_name, file_name, min(delivered_at) AS delivered_at FROM stg_plays GROUP BY 1, 2)),
-vals AS (SELECT feed_name, seq, {_game("j ->> '$.game_id'")} AS game, trim(j ->> '$.play_id', ' ' || chr(9)) AS play, field, j -> ('$."' || field || '"') AS v
+vals AS (SELECT feed_name, seq, {game_sql("j ->> '$.game_id'")} AS game, trim(j ->> '$.play_id', ' ' || chr(9)) AS play, field, j -> ('$."' || field || '"') AS v
   FROM (SELECT *, unnest(json_keys(j)) AS field FROM recs) JOIN files USING (feed_name, file_name), aliases WHERE field NOT IN ('game_id', 'play_id')),
 typed AS (SELECT *, CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN 1 WHEN 'BIGINT' THEN 2 WHEN 'UBIGINT' THEN 2 WHEN 'HUGEINT' THEN 2 WHEN 'DOUBLE' THEN 3 ELSE 4 END AS kind,
   trim(v ->> '$', ' ' || chr(9) || chr(10) || chr(13)) AS txt FROM vals),
@@ -164,8 +164,8 @@ def _cast(name: str) -> str:
 
 _LABEL = "nullif(regexp_replace(lower({c}), '[\\s-]+', '_', 'g'), '')"
 _SPELLED = [drift.folded(x) for _, spelled in drift.ALIASES.values() for x in spelled] + [drift.folded(x) for x in drift.RECORD_ID]
-_CONSISTENT = f"""WITH {_ALIASES},
-fields AS (SELECT feed_name, file_name, line_no, {_game("j ->> '$.game_id'")} AS game, trim(j ->> '$.play_id', ' ' || chr(9)) AS play,
+_CONSISTENT = f"""WITH {ALIASES_CTE},
+fields AS (SELECT feed_name, file_name, line_no, {game_sql("j ->> '$.game_id'")} AS game, trim(j ->> '$.play_id', ' ' || chr(9)) AS play,
   list_transform(list_sort(json_keys(j)), lambda k: {{'fold': lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')), 'v': j ->> ('$."' || k || '"')}}) AS fs
   FROM (SELECT *, CAST(raw_record AS JSON) AS j FROM stg_plays WHERE CASE WHEN json_valid(raw_record) THEN json_type(raw_record) = 'OBJECT' ELSE false END), aliases),
 texts AS (SELECT feed_name, file_name, line_no, game, play, {', '.join(f'{_held(n)} AS {n}' for n in drift.ALIASES)}, len(list_filter(fs, lambda e: e.fold NOT IN {tuple(_SPELLED)})) AS n_other FROM fields),
@@ -214,7 +214,7 @@ def _full(a: str, b: str, key: str, fields: list[str]) -> str:
   ELSE list_filter([{changed}], lambda x: x IS NOT NULL) END AS found FROM {a} a FULL JOIN {b} b ON a.{key} = b.{key}"""
 
 
-_DIFF = f"""WITH {_ALIASES}, pa AS ({_side('fact_plays', 'loaded_at')}), pb AS ({_side('fact_plays_replica', 'synced_at')}),
+_DIFF = f"""WITH {ALIASES_CTE}, pa AS ({_side('fact_plays', 'loaded_at')}), pb AS ({_side('fact_plays_replica', 'synced_at')}),
 ma AS ({_mart_side('mart_team_season_tendencies')}), mb AS ({_mart_side('mart_replica')}),
 both_tables AS (SELECT 'fact_plays' AS table_name, * FROM ({_full('pa', 'pb', 'play_key', diff.PLAY_FIELDS)})
   UNION ALL SELECT 'mart_team_season_tendencies', * FROM ({_full('ma', 'mb', 'row_key', _MART)}))
