@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashmark.llm import quantizer
@@ -20,8 +21,10 @@ PER_WORD, FIRST, RESIDUAL = 48, 2048, (64,) * 8
 BEAM, PROBES, RERANK = 6, 4, 160
 #: Vectors a cell holds before it is divided by one word more, and the most words that divide it.
 CELL, DEPTH = 8192, 3
-#: Prefixes that are divided are known to every task; beyond so many, cells grow instead.
-MAX_DIVIDED = 65_536
+#: Prefixes that are divided are known to every task; beyond so many, cells are searched in blocks instead.
+MAX_DIVIDED = 1 << 20
+#: Rows an encoding task holds at once to find copies among them.
+HELD = 65_536
 #: Vectors have the same direction if their cosine is no further below 1: multiples of each other in single precision are within it.
 ALIKE = 1e-14
 #: Scores by tables and products in single precision that differ by no more count as equal.
@@ -79,21 +82,13 @@ def _sample(vectors: DataFrame, dims: int, size: int) -> np.ndarray:
     return _unit(x).astype(np.float32) if len(x) else x.astype(np.float32)
 
 
-def _encoder(books: quantizer.Codebooks, dims: int, k: int, depth: int):
-    """Per task: exact copies of a vector become one row with their least ids; so do more than ``k`` + 1 vectors of one direction.
+def _encoder(books: Broadcast, dims: int, k: int, depth: int):
+    """Among the rows held at once, exact copies of a vector become one row with their least ids; so do more than ``k`` + 1 vectors of one direction.
 
     A row has at most ``k`` + 1 ids; the others follow as rows without vector.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [np.zeros(0, np.int64)], [np.zeros((0, dims), np.float32)]
-        for batch in batches:
-            rows, x = _usable(batch, 1, dims)
-            ids.append(np.asarray(batch.column(0))[rows].astype(np.int64))
-            vectors.append(x.astype(np.float32))
-        id_, raw = np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors))
-        if not len(id_):
-            return
+    def encoded(id_: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(id_, kind="stable")
         id_, raw = id_[order], raw[order]
         _, first, same = np.unique(_keys(raw), return_index=True, return_inverse=True)
@@ -113,7 +108,7 @@ def _encoder(books: quantizer.Codebooks, dims: int, k: int, depth: int):
         x = raw[first]
         for at in range(0, len(x), 4096):
             part = slice(at, at + 4096)
-            codes, norms, beam = quantizer.encode(books, _unit(x[part].astype(np.float64)).astype(np.float32), BEAM, depth)
+            codes, norms, beam = quantizer.encode(books.value, _unit(x[part].astype(np.float64)).astype(np.float32), BEAM, depth)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(members[part], pa.list_(pa.int64())),
@@ -129,25 +124,40 @@ def _encoder(books: quantizer.Codebooks, dims: int, k: int, depth: int):
             none = pa.nulls(len(rest), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([[i] for i in rest], pa.list_(pa.int64())), none, none, pa.nulls(len(rest), pa.float32()), none, pa.array(rest_of, pa.int64())], names=_ENCODED)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            rows, x = _usable(batch, 1, dims)
+            held.append((np.asarray(batch.column(0))[rows].astype(np.int64), x.astype(np.float32)))
+            n += len(rows)
+            if n >= HELD:
+                yield from encoded(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield from encoded(*map(np.concatenate, zip(*held)))
+
     return run
 
 
 _ENCODED = ["ids", "vector", "code", "norm", "beam", "copy_of"]
-_CELLS = "ids array<bigint>, vector binary, code binary, norm float, cells array<struct<cell:binary,home:boolean>>"
+_PLACED = "ids array<bigint>, vector binary, code binary, norm float, cells array<struct<cell:binary,home:boolean>>"
 
 
-def _placer(divided: frozenset[bytes], depth: int):
+def _placer(divided: Broadcast, depth: int):
     """The cell of each code, and the other cells that its beam comes by, nearest first, up to PROBES in all."""
 
     width = 2 * depth * BEAM
 
-    def leaf(code: bytes) -> bytes:
-        words = 1
-        while 2 * words < len(code) and words < depth and code[: 2 * words] in divided:
-            words += 1
-        return code[: 2 * words]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = divided.value
+
+        def leaf(code: bytes) -> bytes:
+            words = 1
+            while 2 * words < len(code) and words < depth and code[: 2 * words] in known:
+                words += 1
+            return code[: 2 * words]
+
         for batch in batches:
             cells = []
             for code, beam in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
@@ -155,8 +165,8 @@ def _placer(divided: frozenset[bytes], depth: int):
                 near = dict.fromkeys([home])
                 prefixes = [[beam[i : i + 2 * (words + 1)] for i in range(words * width, (words + 1) * width, 2 * depth)] for words in range(depth)]
                 for first in prefixes[0]:
-                    if first in divided:
-                        near |= dict.fromkeys(c for words in prefixes[1:] for c in words if c.startswith(first) and c not in divided and leaf(c) == c)
+                    if first in known:
+                        near |= dict.fromkeys(c for words in prefixes[1:] for c in words if c.startswith(first) and c not in known and leaf(c) == c)
                     else:
                         near[first] = None
                 cells.append([{"cell": c, "home": c == home} for c in list(near)[:PROBES]])
@@ -166,12 +176,39 @@ def _placer(divided: frozenset[bytes], depth: int):
     return run
 
 
-def _searcher(books: quantizer.Codebooks, dims: int, k: int):
-    """In one block of a cell: the ``k`` best of its members for every vector looked up there, as ``id`` and ``found`` (similarity, id)."""
+def _placed_cells(distinct: DataFrame, divided: Broadcast, crowded: bool, depth: int = DEPTH) -> DataFrame:
+    """Each vector once for every cell it is looked up in: ``cell``, ``block``, ``chunk``, whether it ``asks`` there and is a ``member``.
+
+    A cell of more than ``CELL`` members is cut into blocks of its members and chunks of those looked up there, each chunk
+    meeting each block in a group of its own, so that no group holds more than about twice ``CELL`` vectors.
+    """
+    placed = distinct.select("ids", "vector", "code", "norm", "beam").mapInArrow(_placer(divided, depth), _PLACED)
+    cells = placed.select("ids", "vector", "code", "norm", F.explode("cells").alias("at")).select("ids", "vector", "code", "norm", "at.cell", "at.home")
+    if not crowded:
+        return cells.select("cell", F.lit(0).alias("block"), F.lit(0).alias("chunk"), "ids", "vector", "code", "norm", F.lit(True).alias("asks"), F.col("home").alias("member"))
+    load = cells.groupBy("cell").agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("visitors")).where(F.col("members") > CELL)
+    parts = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    known = cells.join(load.select("cell", parts("members").alias("n_blocks"), parts("visitors").alias("n_chunks")), "cell", "left")
+    key = F.xxhash64(F.col("ids")[0])
+    own_block, own_chunk = F.pmod(key, F.col("n_blocks")).cast("int"), F.pmod(F.xxhash64(key), F.col("n_chunks")).cast("int")
+
+    def place(block, chunk, asks: bool, member) -> Column:
+        return F.struct(block.alias("block"), chunk.alias("chunk"), F.lit(asks).alias("asks"), member.alias("member"))
+
+    asking = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: place(b, own_chunk, True, F.lit(False)))
+    asked = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda c: place(own_block, c, False, F.lit(True)))
+    alone = F.array(place(F.lit(0), F.lit(0), True, F.col("home")))
+    places = F.when(F.col("n_blocks").isNull(), alone).when(F.col("home"), F.concat(asking, asked)).otherwise(asking)
+    return known.select("cell", F.explode(places).alias("p"), "ids", "vector", "code", "norm").select("cell", "p.block", "p.chunk", "ids", "vector", "code", "norm", "p.asks", "p.member")
+
+
+def _searcher(shared: Broadcast, dims: int, k: int):
+    """In one group of a cell: the ``k`` best of its members for every vector that asks there, as ``id`` and ``found`` (similarity, id)."""
 
     def run(table: pa.Table) -> pa.Table:
+        books = shared.value
         ids = table.column("ids").to_pylist()
-        home = np.asarray(table.column("member"))
+        home, asking = np.asarray(table.column("member")), np.flatnonzero(np.asarray(table.column("asks")))
         raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, dims)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16).reshape(len(raw), -1)
         norms = np.asarray(table.column("norm"), np.float32)
@@ -206,8 +243,8 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
             top = np.lexsort((who, -sims))[: k + 1]
             return list(zip((-sims[top]).tolist(), who[top].tolist()))
 
-        for start in range(0, len(raw) if n else 0, 512):
-            part = slice(start, min(start + 512, len(raw)))
+        for start in range(0, len(asking) if n else 0, 512):
+            part = asking[start : start + 512]
             score = quantizer.scores(books, approximate[part], lead_codes, lead_norms).T
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
             least = np.take_along_axis(score, best, 1).min(1) - NOISE
@@ -219,16 +256,16 @@ def _searcher(books: quantizer.Codebooks, dims: int, k: int):
             best = np.take_along_axis(best, top, 1)
             wide |= ~alone[best].all(1)
             sims = np.round(np.einsum("qd,qrd->qr", exact[part], lead[best]), 12)
-            for q, row, sim, more in zip(range(part.start, part.stop), best.tolist(), sims.tolist(), wide.tolist()):
+            for i, (q, row, sim, more) in enumerate(zip(part.tolist(), best.tolist(), sims.tolist(), wide.tolist())):
                 if more:
                     # whatever the tables or single precision can't tell from the last one kept
-                    pool = closest(q, np.flatnonzero(score[q - start] >= least[q - start]))
+                    pool = closest(q, np.flatnonzero(score[i] >= least[i]))
                 else:
-                    pool = sorted((-s, i) for s, c in zip(sim, row) for i in listed[by_head[c][0]])
+                    pool = sorted((-s, o) for s, c in zip(sim, row) for o in listed[by_head[c][0]])
                 for doc in ids[q]:
-                    near = [(-s, i) for s, i in pool if i != doc][:k]
+                    near = [(-s, o) for s, o in pool if o != doc][:k]
                     out_id.append(doc)
-                    out_found.append([{"s": s, "i": i} for s, i in near])
+                    out_found.append([{"s": s, "i": o} for s, o in near])
         return pa.table({"id": pa.array(out_id, pa.int64()), "found": pa.array(out_found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))})
 
     return run
@@ -278,8 +315,8 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
 
     Codebooks of words in full dimension, each level fitted on what the levels before leave over, are
     fitted on a bounded sample. Every vector is encoded by beam search. The first words of a code are its cell; a cell
-    of over ``CELL`` vectors is divided by the next word, and one that the words can't divide further is
-    searched in blocks. A vector is looked up in its own cell and in those its beam came by: tables of its products with the words give the
+    of over ``CELL`` vectors is divided by the next word; one that isn't divided further is searched in blocks, those
+    looked up there in chunks, so that the groups stay small. A vector is looked up in its own cell and in those its beam came by: tables of its products with the words give the
     scores of all codes there, divided by their stored norms, and the best are reranked exactly.
     Exact copies are one vector with several keys in every step, so that many copies cost no more than one; so are
     vectors of one direction (multiples of each other, which differ by the rounding of single precision at most) where a
@@ -293,27 +330,21 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     if not len(drawn):
         drawn = np.eye(1, dims, dtype=np.float32)
     books = quantizer.train(drawn, [max(1, min(FIRST, len(drawn) // PER_WORD)), *RESIDUAL])
-    encoded = cut(vectors.where(F.size("vector") == dims).mapInArrow(_encoder(books, dims, k, DEPTH), "ids array<bigint>, vector binary, code binary, norm float, beam binary, copy_of bigint"))
+    shared = spark.sparkContext.broadcast(books)
+    encoded = cut(vectors.where(F.size("vector") == dims).mapInArrow(_encoder(shared, dims, k, DEPTH), "ids array<bigint>, vector binary, code binary, norm float, beam binary, copy_of bigint"))
     distinct = encoded.where("vector IS NOT NULL")
 
-    # which prefixes hold too many vectors: at most n / limit of them for each number of words
+    # which prefixes hold too many vectors: at most n / limit of them for each number of words come to the driver
     n = distinct.count()
     limit = max(CELL, n * DEPTH // MAX_DIVIDED)
-    sizes = (
-        distinct.select(F.explode(F.array(*[F.expr(f"substring(code, 1, {2 * w})") for w in range(1, DEPTH + 1)])).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    )
-    large = {bytes(r.cell): r.n for r in sizes.collect()}
-    divided = frozenset(c for c in large if len(c) < 2 * DEPTH)
-    blocks = {c: -(-m // limit) for c, m in large.items() if len(c) == 2 * DEPTH}
-
-    placed = distinct.drop("copy_of").mapInArrow(_placer(divided, DEPTH), _CELLS)
-    cells = placed.select("ids", "vector", "code", "norm", F.explode("cells").alias("at")).select("ids", "vector", "code", "norm", "at.cell", "at.home")
-    # a cell that can't be divided is spread over blocks by its members' keys; whoever is looked up there visits all blocks
-    split = spark.createDataFrame([(bytearray(c), b) for c, b in blocks.items()], "cell binary, n_blocks int")
-    cells = cells.join(F.broadcast(split), "cell", "left").withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64(F.col("ids")[0]), F.coalesce("n_blocks", F.lit(1)))).cast("int"))
-    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n_blocks", F.lit(1)) - 1)))
-    cells = cells.select("cell", "block", "ids", "vector", "code", "norm", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("member"))
-    found = cells.groupBy("cell", "block").applyInArrow(_searcher(books, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
+    prefixes = distinct.select(F.explode(F.array(*[F.expr(f"substring(code, 1, {2 * w})") for w in range(1, DEPTH + 1)])).alias("cell"))
+    large = cut(prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL))
+    shorter = F.length("cell") < 2 * DEPTH
+    divided = frozenset(bytes(r.cell) for r in large.where(shorter & (F.col("n") > limit)).select("cell").collect())
+    crowded = large.where(~shorter | (F.col("n") <= limit)).limit(1).count() > 0
+
+    cells = _placed_cells(distinct, spark.sparkContext.broadcast(divided), crowded)
+    found = cells.groupBy("cell", "block", "chunk").applyInArrow(_searcher(shared, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
 
     # an id was looked up in a few cells (or blocks): their lists are short and few
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"))

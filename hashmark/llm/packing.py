@@ -16,8 +16,8 @@ CAPACITY = 2048
 LENGTHS = (256, 512, 1024, 2048)
 #: What opening a container costs beside its length, in tokens: why two half containers are dearer than a whole one.
 OPENING = 32
-#: Parts that items of one size are numbered in.
-PARTS = 256
+#: Items of one size are numbered in parts of about so many.
+PART_ITEMS = 100_000
 
 
 class Placement(NamedTuple):
@@ -101,16 +101,19 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "size", capacity: in
     """``key``, ``piece``, ``container``, ``size``: where each item, or piece of one beyond the capacity, goes.
 
     The driver sees how many items each size has, at most ``capacity`` numbers whatever the corpus, and plans runs of
-    containers for runs of items. Spark numbers the items within each size, in parts so that a size
-    of any frequency is spread, and looks each number up in the plan. Items of equal key are
+    containers for runs of items. Spark numbers the items within each size, in parts by its frequency so that none
+    is large, and looks each number up in the plan. Items of equal key are
     items of their own; sizes of 0, below and null need no place. No item is split that fits.
     """
     if max(lengths) != capacity:
         raise ValueError("the largest permitted length is the capacity")
-    items = pieces(sizes, key, size, capacity).withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(PARTS)).cast("int"))
-    counts = cut(items.groupBy("size", "_part").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r.size: r.n for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    runs = sizes.sparkSession.createDataFrame(plan(histogram, lengths), "p_size int, p_first long, p_until long, p_container long, p_each long")
+    spark = sizes.sparkSession
+    items = pieces(sizes, key, size, capacity)
+    histogram = {r.size: r.n for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = spark.createDataFrame(plan(histogram, lengths), "p_size int, p_first long, p_until long, p_container long, p_each long")
+    parts = spark.createDataFrame([(s, -(-n // PART_ITEMS)) for s, n in histogram.items()], "size int, n_parts int")
+    items = items.join(F.broadcast(parts), "size").withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.col("n_parts")).cast("int")).drop("n_parts")
+    counts = items.groupBy("size", "_part").agg(F.count(F.lit(1)).alias("n"))
 
     offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("size", "_part", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("size", "_part").orderBy(key, "piece")) - 1)
@@ -125,6 +128,14 @@ def containers(packed: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFra
     return used.withColumn("length", F.coalesce(*[F.when(F.col("used") <= x, x) for x in sorted(lengths)]))
 
 
+def faults(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """``key``, ``in_order``, ``cut_only_beyond``, ``within``: whether an item's pieces are numbered 0, 1, .. without gap, all but the
+    last full (so that none is cut that fits), and all their containers within the capacity."""
+    used = packed.groupBy("container").agg((F.sum("size") <= capacity).alias("within"))
+    placed = packed.join(used, "container").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b"), F.count_if(F.col("size") == capacity).alias("n_full"), F.bool_and("within").alias("within"))
+    return placed.select(key, ((F.col("a") == 0) & (F.col("b") + 1 == F.col("n"))).alias("in_order"), (F.col("n_full") >= F.col("n") - 1).alias("cut_only_beyond"), "within")
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """All documents' texts, sized in tokens, packed."""
     sized = cut(encode(docs, counts=True).withColumnRenamed("ids", "size"))

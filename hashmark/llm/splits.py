@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.ids import game_key, team_aliases
-from hashmark.session import cut
+from hashmark.operators.skew import hot_keys, replicated, salted
+from hashmark.session import Kept, cut
 
 #: Rounds after which clusters that still change are an error; hash-to-min needs about the logarithm of the longest chain.
 MAX_ROUNDS = 60
@@ -17,26 +18,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Hash-to-min: each node holds a cluster of nodes, at first itself and its neighbours. In each round it sends
     its cluster to the least node in it, and that least node to all of the cluster, until no cluster changes. Clusters
-    are (node, member) rows without repeats, so a component of any size is spread over all tasks; only a
-    count and a sum of hashes come to the driver. Nulls are no nodes; repeated edges and loops don't matter.
+    are (node, member) rows without repeats, those of a node with a large share of them salted, so a component of any
+    size is spread over all tasks; only a count and a sum of hashes come to the driver, and two rounds are stored at most. Nulls are no nodes; repeated edges and loops don't matter.
     """
-    both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("member"))
+    ends = F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("member")) for x in "ab" for y in "ab"])
+    both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.explode(ends).alias("e")).select("e.*")
     own = nodes.where(F.col("node").isNotNull()).select("node", F.col("node").alias("member"))
-    clusters = cut(both.unionByName(own).distinct())
+    kept = Kept(nodes.sparkSession)
+    clusters = kept.keep(both.unionByName(own).distinct(), "clusters")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first())
 
     before = state(clusters)
     for _ in range(MAX_ROUNDS):
-        least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        known = clusters.join(least, "node")
+        least = kept.keep(clusters.groupBy("node").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+        # the least node of a large component holds all of it: such clusters are spread by their members
+        hot = hot_keys(least.select("node", "n"), ["node"])
+        known = salted(clusters, hot, ["node"], ["member"]).join(replicated(least.select("node", "least"), hot, ["node"]), ["node", "_salt"])
         # a node that holds others sends them to its least member; the least member tells all of them its name
-        sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("s")).select("s.*")
-        clusters = cut(sent.distinct())
+        sent = known.select(F.explode(F.array(F.struct(F.col("least").alias("node"), "member"), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("s")).select("s.*")
+        clusters = kept.keep(sent.distinct(), "clusters")
         after = state(clusters)
         if after == before:
-            return clusters.groupBy("node").agg(F.min("member").alias("component"))
+            # clusters that no longer change have the same least members
+            return least.select("node", F.col("least").alias("component"))
         before = after
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
@@ -61,6 +67,13 @@ def same_split_pairs(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame)
     return a.join(b, "component").where("game_id_a < game_id_b").select("game_id_a", "game_id_b")
 
 
+def same_split_classes(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame) -> DataFrame:
+    """``game_id`` as written in the plays, ``component`` it belongs to, ``n_rows``: what the pairs say, one row a spelling."""
+    written = plays.where(F.col("game_id").isNotNull()).groupBy("game_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    named = written.withColumn("node", game_key(F.col("game_id"), team_aliases(dim_team)))
+    return named.join(game_components(plays, dim_game, dim_team), "node").select("game_id", "component", "n_rows")
+
+
 def rendezvous(key: Column, seed: Column, weights: dict[str, Column | float]) -> Column:
     """The split whose weighted hash of the key is best: -weight / ln(u), u uniform in (0, 1) from key, split and seed."""
 
@@ -71,8 +84,8 @@ def rendezvous(key: Column, seed: Column, weights: dict[str, Column | float]) ->
     return F.greatest(*[score(n, w) for n, w in weights.items()])["split"]
 
 
-def assign_splits(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, weights: dict[str, float] | None = None, seeds: int = 32) -> DataFrame:
-    """``component``, ``split``, ``n_rows``: 80/10/10 of the plays unless ``weights`` says otherwise.
+def assign_splits(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, weights: dict[str, float] | None = None, seeds: int = 32, components: DataFrame | None = None) -> DataFrame:
+    """``component``, ``split``, ``n_rows``: 80/10/10 of the plays unless ``weights`` says otherwise; ``components`` if they are known already.
 
     Components holding more than a quarter of the smallest split's share (at most 4 / that share of them, as
     shares add to one) can't be left to chance: largest first, each goes to the split that lacks most rows. All others
@@ -87,8 +100,9 @@ def assign_splits(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, we
     aliases = team_aliases(dim_team)
     won = F.sum(F.coalesce(F.col("posteam_won").cast("int"), F.lit(0)))
     by_game = plays.groupBy(game_key(F.col("game_id"), aliases).alias("node"), "season").agg(F.count(F.lit(1)).alias("n_rows"), won.alias("n_won"))
+    components = game_components(plays, dim_game, dim_team) if components is None else components
     stats = cut(
-        by_game.join(game_components(plays, dim_game, dim_team), "node", "left").groupBy("component", "season").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_won").alias("n_won"))
+        by_game.join(components, "node", "left").groupBy("component", "season").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_won").alias("n_won"))
     )
     sizes = stats.groupBy("component").agg(F.sum("n_rows").alias("n_rows"))
     total = sizes.agg(F.sum("n_rows")).first()[0] or 0
@@ -133,8 +147,9 @@ def assign_splits(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, we
 
 def split_plays(plays: DataFrame, dim_game: DataFrame, dim_team: DataFrame, **how) -> DataFrame:
     """All plays with ``split``; a column of that name which the plays already have is replaced, any other is kept."""
-    assigned = assign_splits(plays, dim_game, dim_team, **how)
-    by_game = game_components(plays, dim_game, dim_team).join(assigned.where("component IS NOT NULL"), "component").select(F.col("node").alias("_split_node"), F.col("split").alias("_split"))
+    components = game_components(plays, dim_game, dim_team)
+    assigned = assign_splits(plays, dim_game, dim_team, components=components, **how)
+    by_game = components.join(assigned.where("component IS NOT NULL"), "component").select(F.col("node").alias("_split_node"), F.col("split").alias("_split"))
     no_game = assigned.where("component IS NULL").select(F.lit(None).cast("string").alias("_split_node"), F.col("split").alias("_split"))
     keys = by_game.unionByName(no_game)
     named = plays.drop("split").withColumn("_split_game", game_key(F.col("game_id"), team_aliases(dim_team)))

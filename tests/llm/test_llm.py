@@ -138,6 +138,27 @@ def test_large_cells_are_divided(spark, monkeypatch):
     assert len(found) == 600 and all(len(n) == 5 for n in found.values())
 
 
+def test_groups_of_a_tight_cluster_stay_small(spark, monkeypatch):
+    """Vectors that the words can't tell apart: no group grows with them, and the search is as good as exact."""
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    monkeypatch.setattr(neighbours, "FIRST", 1)
+    monkeypatch.setattr(neighbours, "RESIDUAL", (2,) * 8)
+    seen = []
+    real = neighbours._placed_cells
+    monkeypatch.setattr(neighbours, "_placed_cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal(96) + 0.01 * rng.standard_normal((1200, 96))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(f) for f in v], "", "") for i, v in enumerate(x)], DOCS)
+    found = {r.doc_id: [n.doc_id for n in r.neighbours] for r in neighbours.nearest(df).collect()}
+    groups = seen[0].groupBy("cell", "block", "chunk").agg(F.count_if("asks").alias("asks"), F.count_if("member").alias("members")).agg(F.max("asks"), F.max("members"), F.count(F.lit(1))).first()
+    assert groups[0] <= 3 * 40 and groups[1] <= 3 * 40 and groups[2] > 30
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    np.fill_diagonal(sims, -2)
+    right = [set(np.lexsort((np.arange(1200), -sims[i]))[:5]) for i in range(1200)]
+    assert sum(len(right[i] & set(found[i])) for i in range(1200)) >= 0.9 * 5 * 1200
+
+
 # --- tokens
 
 TEXTS = [
