@@ -37,10 +37,3 @@ def bucket(c: Column, bounds: list[tuple[float, str]], beyond: str) -> Column:
     for limit, label in bounds:
         out = out.when(c <= limit, label)
     return out.otherwise(beyond)
-
-
-def mean_rank(value: str, total_order: str | None = None):
-    """Rank within all rows, equal values sharing the mean of their ranks."""
-    from pyspark.sql import Window
-
-    return F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,13 +45,26 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 BLOCKS = 12
 
 
+def _letters(c: str) -> Column:
+    """A name's letters, each numbered among its like, so that the size of an intersection counts repeats."""
+    each = F.split(F.col(c), "")
+    return F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
 def alike_names(asked: DataFrame, names: DataFrame, at_least: float = 0.88) -> DataFrame:
-    """``asked``, ``name``, ``similarity``: every pair of distinct values of the columns ``asked`` and ``name`` that is alike enough."""
-    asking = asked.where("asked IS NOT NULL").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    known = names.where("name IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("name"), F.lit(BLOCKS)).cast("int"))
+    """``asked``, ``name``, ``similarity``: every pair of distinct values of the columns ``asked`` and ``name`` that is alike enough.
+
+    What two names can reach at most follows from the letters they share and their common beginning; only pairs that may
+    be alike enough by that are scored.
+    """
+    asking = asked.where("asked IS NOT NULL").distinct().withColumn("letters_a", _letters("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    known = names.where("name IS NOT NULL").distinct().withColumn("letters_b", _letters("name")).withColumn("block", F.pmod(F.xxhash64("name"), F.lit(BLOCKS)).cast("int"))
     a, b = F.length("asked"), F.length("name")
-    # with all letters of the shorter one and its first four shared, Jaro is (2 + shorter / longer) / 3, and 0.4 of the rest is added
-    reach = 0.6 * (2 + F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0))) / 3 + 0.4
+    begins = [F.when(F.substring("asked", 1, n) == F.substring("name", 1, n), n) for n in (4, 3, 2, 1)]
+    same = F.least(F.coalesce(*begins, F.lit(0)), a, b)
+    shared = F.size(F.array_intersect("letters_a", "letters_b"))
+    jaro = (shared / F.nullif(a, F.lit(0)) + shared / F.nullif(b, F.lit(0)) + 1) / 3
+    reach = jaro + 0.1 * same * (1 - jaro)
     pairs = asking.join(known, "block").where((reach >= at_least - 1e-9) | (F.col("asked") == F.col("name")))
     scored = pairs.select("asked", "name", F.round(jaro_winkler("asked", "name"), 9).alias("similarity"))
     return scored.where(F.col("similarity") >= at_least)

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashmark.session import cut
+
 #: Known before the snap, so that a model may use them.
 PRE_SNAP = ["down", "ydstogo", "yardline_100", "game_seconds_remaining", "score_differential", "qtr"]
 #: Outcomes of the play: never features.
 LEAKAGE = {"epa", "wp", "yards_gained", "posteam_won", "is_pass_call"}
 
 
-def design(plays: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """``label`` and the features of rows that have all of them; a feature that leaks the outcome is refused."""
+def design(plays: DataFrame, target: str, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``label`` and the features of rows that have all of them, and the columns ``keep``; a feature that leaks the outcome is refused."""
     if bad := sorted(LEAKAGE & set(features)):
         raise ValueError(f"features known only after the play: {bad}")
-    return plays.select("season", F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).na.drop(subset=["label", *features])
+    return plays.select("season", F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features], *(keep or [])).na.drop(subset=["label", *features])
 
 
 def season_split(frame: DataFrame, first_valid: int, first_test: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,12 +29,44 @@ def season_split(frame: DataFrame, first_valid: int, first_test: int) -> tuple[D
     return frame.where(F.col("season") < first_valid), frame.where((F.col("season") >= first_valid) & (F.col("season") < first_test)), frame.where(F.col("season") >= first_test)
 
 
-def fit(train: DataFrame, features: list[str], kind: str = "logistic"):
-    """A standardised logistic regression, or boosted trees (``kind`` "trees")."""
+#: The network's hidden layers and iterations; the trees' depth, rounds at most and step. Rounds end where the validation seasons no longer gain.
+HIDDEN, ITERATIONS = [64, 64], 60
+DEPTH, ROUNDS, STEP = 6, 40, 0.1
+
+
+def fit(train: DataFrame, features: list[str], kind: str = "logistic", valid: DataFrame | None = None):
+    """A pipeline that standardises and predicts: a logistic regression, a "network" of two hidden layers, or boosted "trees".
+
+    Trees stop early by the rows of ``valid``, if given. Without rows to train on there is no model, which is an error.
+    """
+    if not train.limit(1).count():
+        raise ValueError("no rows to train on")
+    learner = {
+        "logistic": LogisticRegression(maxIter=30, regParam=1e-3),
+        "network": MultilayerPerceptronClassifier(layers=[len(features), *HIDDEN, 2], maxIter=ITERATIONS, seed=7),
+        "trees": GBTClassifier(maxDepth=DEPTH, maxIter=ROUNDS, stepSize=STEP, seed=7),
+    }[kind]
+    rows = train
+    if kind == "trees" and valid is not None and valid.limit(1).count():
+        rows = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+        learner = learner.setValidationIndicatorCol("_valid")
     assembled = VectorAssembler(inputCols=features, outputCol="raw")
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
-    learner = LogisticRegression(maxIter=30, regParam=1e-3) if kind == "logistic" else GBTClassifier(maxDepth=4, maxIter=10, stepSize=0.2, seed=7)
-    return Pipeline(stages=[assembled, scaled, learner]).fit(train)
+    return Pipeline(stages=[assembled, scaled, learner]).fit(rows)
+
+
+def save(model, path: str) -> None:
+    """A fitted pipeline with its scaler, so that it predicts the same wherever it is loaded."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    return PipelineModel.load(path)
+
+
+def base_rate(train: DataFrame) -> Column:
+    """The share of positives in training, within what a logarithm bears: the least a model has to beat."""
+    return F.least(F.greatest(train.agg(F.avg("label")).scalar(), F.lit(1e-7)), F.lit(1 - 1e-7))
 
 
 def score(model, frame: DataFrame) -> DataFrame:
@@ -69,7 +103,7 @@ def rank_auc(scored: DataFrame, p: str = "p", label: str = "label") -> DataFrame
     Equal predictions are counted together first, and those counts are summed within ranges of the
     prediction and then over the ranges, so that no task sees all rows.
     """
-    values = scored.groupBy(F.col(p).alias("v")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")).withColumn("range", F.floor(F.col("v") * 1024).cast("int"))
+    values = cut(scored.groupBy(F.col(p).alias("v")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")).withColumn("range", F.floor(F.col("v") * 1024).cast("int")))
     ranges = values.groupBy("range").agg(F.sum("neg").alias("range_neg"))
     below = ranges.withColumn("below", F.coalesce(F.sum("range_neg").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("range", "below")
     within = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +120,7 @@ def feature_auc(frame: DataFrame, features: list[str], label: str, parts: int =
     """
     held = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     long = frame.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), held.alias("f")).select("y", "f.*").where("v IS NOT NULL AND NOT isnan(v)")
-    values = long.groupBy("feature", "v").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    values = cut(long.groupBy("feature", "v").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
     cuts = values.groupBy("feature").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)]).alias("cuts"))
     ranged = values.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sums = ranged.groupBy("feature", "range").agg(F.sum("neg").alias("range_neg"))

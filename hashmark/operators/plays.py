@@ -10,19 +10,23 @@ from hashmark.operators.drift import label
 
 #: Bounds of the situational labels, inclusive.
 DISTANCE = [(2, "short"), (6, "medium"), (10, "long")]
-ZONE = [(20, "red_zone"), (40, "fringe"), (60, "midfield"), (80, "own_territory")]
-SCORE = [(-17, "trailing_big"), (-9, "trailing_two_score"), (-1, "trailing_one_score"), (0, "tied"), (8, "leading_one_score"), (16, "leading_two_score")]
+ZONE = [(20, "red_zone"), (40, "opponent_territory"), (60, "midfield"), (80, "own_territory")]
+SCORE = [(-17, "trailing_big"), (-9, "trailing_two_scores"), (-1, "trailing_one_score"), (0, "tied"), (8, "leading_one_score"), (16, "leading_two_scores")]
 
 
 def with_labels(plays: DataFrame) -> DataFrame:
     """Distance, field zone, score state, situation flags and drive key of each play; null where a label has no meaning."""
+    clock = F.col("game_seconds_remaining")
+    half = F.col("half_seconds_remaining") if "half_seconds_remaining" in plays.columns else F.when(clock > 1800, clock - 1800).otherwise(clock)
     return plays.withColumns(
         {
             "distance": F.when(F.col("down").isNotNull(), bucket(F.col("ydstogo"), DISTANCE, "very_long")),
             "zone": bucket(F.col("yardline_100"), ZONE, "backed_up"),
             "score_state": bucket(F.col("score_differential"), SCORE, "leading_big"),
             "early_down": F.col("down").isin(1, 2),
-            "neutral": is_true(F.col("wp").between(0.2, 0.8) & (F.col("qtr") <= 3) & (F.col("game_seconds_remaining") > 120)),
+            "two_minute": half <= 120,
+            "is_home": (F.col("posteam") == F.col("home_team")) if {"posteam", "home_team"} <= set(plays.columns) else F.lit(None).cast("boolean"),
+            "neutral": is_true(F.col("wp").between(0.2, 0.8) & (F.col("qtr") <= 3) & (half > 120)),
             "garbage": is_true(~F.col("wp").between(0.05, 0.95) & (F.col("qtr") >= 4)),
             "drive_key": F.concat("game_id", F.lit("-"), F.col("fixed_drive").cast("string")),
             "kind": label(F.col("play_type")),
@@ -30,6 +34,22 @@ def with_labels(plays: DataFrame) -> DataFrame:
     )
 
 
+def with_outcomes(plays: DataFrame) -> DataFrame:
+    """``posteam_won``, ``is_designed_play`` and ``is_pass_call`` from what was delivered.
+
+    ``result`` is the home side's margin: a tie, an unknown margin or an unknown team has no winner. A play is designed if it is
+    a run or a pass on a known down and none of the flags that exclude it is set; an unknown flag isn't set. A pass
+    is called only where a play is designed.
+    """
+    won = F.when(F.col("result") != 0, (F.col("result") > 0) == (F.col("posteam") == F.col("home_team")))
+    excluded = [F.coalesce(F.col(c), F.lit(False)) for c in ("qb_kneel", "qb_spike", "aborted_play", "play_deleted", "special_teams")]
+    designed = (F.col("pass_play") | F.col("rush_play")) & F.col("down").isNotNull()
+    for flag in excluded:
+        designed = designed & ~flag
+    out = plays.withColumns({"posteam_won": won, "is_designed_play": designed})
+    return out.withColumn("is_pass_call", F.when(F.col("is_designed_play"), F.col("pass_play")))
+
+
 def latest_plays(plays: DataFrame) -> DataFrame:
     """One row a play_key, the one loaded last (ties: the greatest row), so that a redelivery replaces what it repeats."""
     rest = [c for c in plays.columns if c not in ("play_key", "loaded_at")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense_rank(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
     """The ``k`` rows most similar to one query vector, with ``rank`` from 1; ties go to the smaller key."""
-    scored = vectors.select(F.col(key), F.round(cosine(F.col(vector), F.lit(query)), 6).alias("score")).where("score IS NOT NULL")
+    scored = vectors.select(F.col(key), F.round(cosine(F.col(vector), F.lit(query)), 12).alias("score")).where("score IS NOT NULL")
     best = scored.orderBy(F.desc("score"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
 def terms(c: Column) -> Column:
-    """The words of a text in lower case."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
+    """The words of a text, in lower case and whatever script."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1)
 
 
 def lexical_rank(docs: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
@@ -40,6 +42,43 @@ def lexical_rank(docs: DataFrame, key: str, text: str, query: str, k: int) -> Da
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+def matching(docs: DataFrame, grain: str | None = None, seasons: list[int] | None = None, teams: list[str] | None = None, week: int | None = None) -> DataFrame:
+    """Documents that a search may find: of this grain and week, any of the seasons, all of the teams; what isn't given doesn't filter.
+
+    It comes before any ranking, so that a ranking's places go to documents that may be found.
+    """
+    kept = docs
+    if grain is not None:
+        kept = kept.where(F.col("grain") == grain)
+    if seasons is not None:
+        kept = kept.where(F.col("season").isin(seasons))
+    if week is not None:
+        kept = kept.where(F.col("week") == week)
+    if teams:
+        kept = kept.where(F.size(F.array_except(F.array(*map(F.lit, teams)), "teams")) == 0)
+    return kept
+
+
+def hashed(docs: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
+    """``key``, ``vector``: texts as hashed bags of words of length one (all zero without words): the embedder that needs no model."""
+    words = docs.select(key, terms(F.coalesce(text, F.lit(""))).alias("_words"))
+    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
+    return Normalizer(inputCol="_tf", outputCol="_unit").transform(counted).select(key, vector_to_array("_unit", "float32").alias("vector"))
+
+
+def index_updates(docs: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``digest``, ``vector`` of the documents that an index (``key``, ``digest``) lacks or holds with another text; others aren't embedded again."""
+    now = docs.select(key, text, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"))
+    due = now.join(index.select(key, "digest"), [key, "digest"], "left_anti")
+    return due.select(key, "digest").join(hashed(due, key, text), key)
+
+
+def require_space(index: dict, model: str, size: int) -> None:
+    """Refuse to compare vectors of different models or sizes: ``index`` is what was noted when the index was built."""
+    if (index.get("model"), index.get("size")) != (model, size):
+        raise ValueError(f"the index holds {index.get('model')} vectors of {index.get('size')}, not {model} of {size}")
+
+
 def fuse(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two ranked lists as one: the sum of 1 / (60 + rank), and where each row was found."""
     both = a.select(key, F.col("rank").alias("ra")).join(b.select(key, F.col("rank").alias("rb")), key, "full_outer")
@@ -64,7 +103,7 @@ def block_rank(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
     rows = normed(vectors).withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     asked = normed(queries).select(F.col(key).alias("query"), F.col("_x").alias("_q"), F.col("_size").alias("_q_size"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     dot = F.aggregate(F.zip_with("_q", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = rows.join(asked, "_block").where(F.col(key) != F.col("query")).select("query", F.col(key), "_block", F.round(dot / (F.col("_q_size") * F.col("_size")), 6).alias("score"))
+    scored = rows.join(asked, "_block").where(F.col(key) != F.col("query")).select("query", F.col(key), "_block", F.round(dot / (F.col("_q_size") * F.col("_size")), 12).alias("score"))
     order = [F.desc("score"), F.asc(key)]
     in_block = Window.partitionBy("query", "_block").orderBy(*order)
     best = scored.where("score IS NOT NULL").withColumn("_r", F.row_number().over(in_block)).where(F.col("_r") <= k)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hashmark.operators import decisions, models, quality, retrieval
 from hashmark.plans.registry import Registry
 from hashmark.plans.warehouse import LATEST, latest, r6
+from hashmark.session import cut
 from hashmark.sources.tables import table
 from hashmark.streaming import replay
 
@@ -136,7 +135,7 @@ def replay_events(spark, d):
     f"""WITH {LATEST}, n AS (SELECT {_KIND} AS kind, posteam, yardline_100, lead(posteam) OVER w AS next_team, lead(yardline_100) OVER w AS next_yardline FROM latest WINDOW w AS (PARTITION BY game_id ORDER BY play_id, play_key)),
 p AS (SELECT yardline_100 // 5 AS bin, next_yardline AS y FROM n WHERE kind = 'punt' AND next_team <> posteam AND yardline_100 BETWEEN 0 AND 99 AND next_yardline IS NOT NULL),
 b AS (SELECT bin, count(*) AS n, avg(y) AS m FROM p GROUP BY 1), bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20)),
-near AS (SELECT bins.bin, b.m FROM bins, b WHERE b.n >= 10 QUALIFY row_number() OVER (PARTITION BY bins.bin ORDER BY abs(b.bin - bins.bin), b.bin) = 1)
+near AS (SELECT bins.bin, b.m FROM bins, b WHERE b.n >= 25 QUALIFY row_number() OVER (PARTITION BY bins.bin ORDER BY abs(b.bin - bins.bin), b.bin) = 1)
 SELECT bin, coalesce(b.n, 0) AS n, round(coalesce(near.m, (SELECT avg(y) FROM p)), 6) AS value FROM bins LEFT JOIN b USING (bin) LEFT JOIN near USING (bin)""",
 )
 def punt_table(spark, d):
@@ -146,13 +145,13 @@ def punt_table(spark, d):
 
 def _punt_table(plays):
     punts = decisions.next_possession(plays).where("kind = 'punt' AND next_team <> posteam")
-    return decisions.binned_means(punts, "yardline_100", "next_yardline", 5, 20, 10)
+    return decisions.binned_means(punts, "yardline_100", "next_yardline", 5, 20, 25)
 
 
 @q("fourth_down_audit")
 def fourth_down_audit(spark, d):
     """What was chosen on fourth down against the options' values by models of earlier seasons."""
-    plays = _kinds(spark, d)
+    plays = cut(_kinds(spark, d))
     earlier = plays.where("season < 2016")
     win = models.fit(models.design(earlier, "posteam_won", models.PRE_SNAP), models.PRE_SNAP)
     near = ["ydstogo", "yardline_100"]
@@ -227,7 +226,7 @@ def leakage_scan(spark, d):
 
 @q(
     "retrieval_scores",
-    """WITH s AS (SELECT a.vec_id AS query, a.label AS ql, b.label AS bl, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
+    """WITH s AS (SELECT a.vec_id AS query, a.label AS ql, b.label AS bl, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) DESC, b.vec_id) AS rank
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), f AS (SELECT query, min(rank) FILTER (WHERE ql = bl) AS first FROM s WHERE rank <= 10 GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(coalesce(first = 1, false)::INT), 6) AS hit_at_1, round(avg((first IS NOT NULL)::INT), 6) AS recall_at_k, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM f""",
 )
@@ -242,6 +241,4 @@ def retrieval_scores(spark, d):
 @q("hashed_vectors")
 def hashed_vectors(spark, d):
     """Texts as hashed bags of words of length one: the embedder that needs no model."""
-    words = table(spark, d, "documents").select("doc_id", retrieval.terms(F.coalesce("text", F.lit(""))).alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=256).transform(words)
-    return Normalizer(inputCol="tf", outputCol="unit").transform(hashed).select("doc_id", vector_to_array("unit", "float32").alias("vector"))
+    return retrieval.hashed(table(spark, d, "documents"), "doc_id", "text")

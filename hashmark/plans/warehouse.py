@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from hashmark.functions.compat import floor_zero, is_true, max_by_known
 from hashmark.functions.fuzzy import alike_names, jaro_winkler
-from hashmark.operators import models, plays, quality, retrieval
+from hashmark.operators import models, plays, quality, quantiles, retrieval
 from hashmark.plans.registry import Registry
+from hashmark.session import cut
 from hashmark.sources import store
 from hashmark.sources.tables import table, tables
 from hashmark.streaming import score
@@ -37,10 +38,10 @@ def latest(spark, d):
 @q(
     "play_labels",
     """WITH l AS (SELECT CASE WHEN down IS NULL THEN NULL WHEN ydstogo IS NULL THEN NULL WHEN ydstogo <= 2 THEN 'short' WHEN ydstogo <= 6 THEN 'medium' WHEN ydstogo <= 10 THEN 'long' ELSE 'very_long' END AS distance,
-  CASE WHEN yardline_100 IS NULL THEN NULL WHEN yardline_100 <= 20 THEN 'red_zone' WHEN yardline_100 <= 40 THEN 'fringe' WHEN yardline_100 <= 60 THEN 'midfield' WHEN yardline_100 <= 80 THEN 'own_territory' ELSE 'backed_up' END AS zone,
-  CASE WHEN score_differential IS NULL THEN NULL WHEN score_differential <= -17 THEN 'trailing_big' WHEN score_differential <= -9 THEN 'trailing_two_score' WHEN score_differential <= -1 THEN 'trailing_one_score'
-    WHEN score_differential <= 0 THEN 'tied' WHEN score_differential <= 8 THEN 'leading_one_score' WHEN score_differential <= 16 THEN 'leading_two_score' ELSE 'leading_big' END AS score_state,
-  coalesce(wp BETWEEN 0.2 AND 0.8 AND qtr <= 3 AND game_seconds_remaining > 120, false) AS neutral, coalesce(wp NOT BETWEEN 0.05 AND 0.95 AND qtr >= 4, false) AS garbage FROM fact_plays)
+  CASE WHEN yardline_100 IS NULL THEN NULL WHEN yardline_100 <= 20 THEN 'red_zone' WHEN yardline_100 <= 40 THEN 'opponent_territory' WHEN yardline_100 <= 60 THEN 'midfield' WHEN yardline_100 <= 80 THEN 'own_territory' ELSE 'backed_up' END AS zone,
+  CASE WHEN score_differential IS NULL THEN NULL WHEN score_differential <= -17 THEN 'trailing_big' WHEN score_differential <= -9 THEN 'trailing_two_scores' WHEN score_differential <= -1 THEN 'trailing_one_score'
+    WHEN score_differential <= 0 THEN 'tied' WHEN score_differential <= 8 THEN 'leading_one_score' WHEN score_differential <= 16 THEN 'leading_two_scores' ELSE 'leading_big' END AS score_state,
+  coalesce(wp BETWEEN 0.2 AND 0.8 AND qtr <= 3 AND CASE WHEN game_seconds_remaining > 1800 THEN game_seconds_remaining - 1800 ELSE game_seconds_remaining END > 120, false) AS neutral, coalesce(wp NOT BETWEEN 0.05 AND 0.95 AND qtr >= 4, false) AS garbage FROM fact_plays)
 SELECT distance, zone, score_state, neutral, garbage, count(*) AS n FROM l GROUP BY ALL""",
 )
 def play_labels(spark, d):
@@ -128,7 +129,11 @@ def semi_large_orders(spark, d):
     return o.join(li.where("l_quantity >= 49"), o.o_orderkey == li.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
 
 
-@q("lossless_split", "SELECT 'lost' AS side, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'added', 0")
+@q(
+    "lossless_split",
+    """WITH wide AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), again AS (SELECT o.*, c.* FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM wide) o JOIN (SELECT DISTINCT * FROM customer) c ON o_custkey = c_custkey)
+SELECT 'lost' AS side, count(*) AS n FROM (SELECT * FROM wide EXCEPT ALL SELECT * FROM again) UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM again EXCEPT ALL SELECT * FROM wide)""",
+)
 def lossless_split(spark, d):
     """Orders split from their customers and joined again: rows lost and added (none)."""
     o, c = tables(spark, d, "orders", "customer")
@@ -233,8 +238,8 @@ def ordered_string_agg(spark, d):
 
 @q("percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1")
 def percentiles(spark, d):
-    """Percentiles that are values of the data."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count(F.lit(1)).alias("n"))
+    """Percentiles that are values of the data, whatever share of the rows a group holds."""
+    return quantiles.exact(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @q(
@@ -485,15 +490,15 @@ def _first_vector(spark, d):
 
 @q(
     "dense_topk",
-    """WITH s AS (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings e)
-SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 20""",
+    """WITH s AS (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 12) AS score FROM embeddings e)
+SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 20""",
 )
 def dense_topk(spark, d):
     """The twenty vectors nearest to the first."""
-    return retrieval.dense_rank(table(spark, d, "embeddings"), "vec_id", "embedding", _first_vector(spark, d), 20)
+    return retrieval.dense_rank(table(spark, d, "embeddings"), "vec_id", "embedding", _first_vector(spark, d), 20).withColumn("score", r6(F.col("score")))
 
 
-_LEX = """t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x IN ('salary', 'cap', 'cache', 'layer'))) AS term FROM documents),
+_LEX = r"""t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x IN ('salary', 'cap', 'cache', 'layer'))) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 lex AS (SELECT doc_id, round(sum(ln(1 + tf) * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score FROM tf JOIN df USING (term) GROUP BY 1)"""
 
@@ -507,7 +512,7 @@ def lexical_topk(spark, d):
 @q(
     "rrf_fusion",
     f"""WITH {_LEX}, l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rb FROM lex QUALIFY rb <= 50),
-s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings),
+s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 12) AS score FROM embeddings),
 v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS ra FROM s QUALIFY ra <= 50)
 SELECT coalesce(v.doc_id, l.doc_id) AS doc_id, round(coalesce(1.0 / (60 + ra), 0) + coalesce(1.0 / (60 + rb), 0), 9) AS fused, CASE WHEN ra IS NULL THEN 'lexical' WHEN rb IS NULL THEN 'dense' ELSE 'both' END AS found_by
 FROM v FULL JOIN l ON v.doc_id = l.doc_id""",
@@ -559,20 +564,53 @@ def possession_flip(spark, d):
     return models.flipped(p).select("play_key", "loaded_at", "yardline_100", "score_differential", "game_seconds_remaining", "down", "ydstogo")
 
 
+#: Seasons up to the first are for training, from the second on for testing; those between are for validation.
+FIRST_VALID, FIRST_TEST = 2014, 2016
+_TEST = f"""{LATEST}, frame AS (SELECT season, posteam_won::INT::DOUBLE AS label, wp FROM latest WHERE posteam_won IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in models.PRE_SNAP)})"""
+
+
+def _frame(spark, d, target):
+    df = latest(spark, d)
+    return cut(models.design(df.where("is_designed_play") if target == "is_pass_call" else df, target, models.PRE_SNAP))
+
+
 @q("win_model")
 def win_model(spark, d):
-    """A logistic win model trained on earlier seasons, scored on later ones."""
-    frame = models.design(latest(spark, d), "posteam_won", models.PRE_SNAP)
-    train, _, test = models.season_split(frame, 2014, 2016)
-    return models.metrics(models.score(models.fit(train, models.PRE_SNAP), test))
+    """A network for winning trained on earlier seasons, scored on later ones."""
+    train, _, test = models.season_split(_frame(spark, d, "posteam_won"), FIRST_VALID, FIRST_TEST)
+    return models.metrics(models.score(models.fit(train, models.PRE_SNAP, "network"), test))
 
 
 @q("play_call_model")
 def play_call_model(spark, d):
-    """Boosted trees for pass or run, calibrated on later seasons."""
-    frame = models.design(latest(spark, d).where("is_designed_play"), "is_pass_call", models.PRE_SNAP)
-    train, _, test = models.season_split(frame, 2014, 2016)
-    return models.calibration(models.score(models.fit(train, models.PRE_SNAP, "trees"), test))
+    """Boosted trees for pass or run, stopped by the validation seasons, calibrated on later ones."""
+    train, valid, test = models.season_split(_frame(spark, d, "is_pass_call"), FIRST_VALID, FIRST_TEST)
+    return models.calibration(models.score(models.fit(train, models.PRE_SNAP, "trees", valid), test))
+
+
+@q("model_gates", f"WITH {_TEST} SELECT 'win' AS model, count(*) AS n, true AS finite, true AS beats_base_rate FROM frame WHERE season >= {FIRST_TEST}")
+def model_gates(spark, d):
+    """What the win model must do before it is published: finite predictions and a log loss below that of the base rate of its training seasons."""
+    train, valid, test = models.season_split(_frame(spark, d, "posteam_won"), FIRST_VALID, FIRST_TEST)
+    scored = cut(models.score(models.fit(train, models.PRE_SNAP, "network", valid), test).select("label", "p", models.base_rate(train).alias("base")))
+    base_loss = models.metrics(scored, "base").select("log_loss").scalar()
+    finite = ~F.isnan("log_loss") & F.col("log_loss").isNotNull()
+    return models.metrics(scored).select(F.lit("win").alias("model"), "n", finite.alias("finite"), (F.col("log_loss") < base_loss).alias("beats_base_rate"))
+
+
+@q(
+    "model_baselines",
+    f"""WITH {_TEST}, b AS (SELECT least(greatest((SELECT avg(label) FROM frame WHERE season < {FIRST_VALID}), 1e-7), 1 - 1e-7) AS base), t AS (SELECT label, base, least(greatest(wp, 1e-7), 1 - 1e-7) AS p FROM frame, b WHERE season >= {FIRST_TEST} AND wp IS NOT NULL AND NOT isnan(wp))
+SELECT 'base rate' AS model, count(*) AS n, round(avg(-(label * ln(base) + (1 - label) * ln(1 - base))), 6) AS log_loss, round(avg((base - label) ^ 2), 6) AS brier FROM t
+UNION ALL SELECT 'recorded', count(*), round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6), round(avg((p - label) ^ 2), 6) FROM t""",
+)
+def model_baselines(spark, d):
+    """What a win model has to beat on the test seasons: the base rate of training, and the probabilities recorded with the plays."""
+    frame = models.design(latest(spark, d), "posteam_won", models.PRE_SNAP, ["wp"])
+    train, _, test = models.season_split(frame, FIRST_VALID, FIRST_TEST)
+    sound = test.where("wp IS NOT NULL AND NOT isnan(wp)").select("label", F.least(F.greatest("wp", F.lit(1e-7)), F.lit(1 - 1e-7)).alias("recorded"), models.base_rate(train).alias("base"))
+    of = lambda name, c: models.metrics(sound, c).select(F.lit(name).alias("model"), "n", r6(F.col("log_loss")).alias("log_loss"), r6(F.col("brier")).alias("brier"))
+    return of("base rate", "base").unionByName(of("recorded", "recorded"))
 
 
 # --- replay

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from hashmark.functions.compat import bucket, floor_zero, max_by_known, min_by_known, ratio
 from hashmark.functions.fuzzy import _jaro_winkler, alike_names
+from hashmark.functions import names
 from hashmark.functions.ids import game_key, player_key
-from hashmark.operators import models, plays, quality, retrieval
-from hashmark.sources import store
+from hashmark.operators import models, plays, quality, quantiles, retrieval
+from hashmark.sources import store, tables
 from hashmark.streaming import score
 
 
@@ -32,15 +33,24 @@ def test_known_extremes(spark):
 
 
 def test_labels(spark):
-    rows = [(1, 10, 75, 0, 0.5, 1, 3000.0), (3, 1, 12, -21, 0.01, 4, 90.0), (1, 10, 60, 3, 0.99, 4, 40.0), (4, 12, 88, -3, 0.4, 3, 600.0), (None, None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "down int, ydstogo int, yardline_100 int, score_differential int, wp double, qtr int, game_seconds_remaining double")
-    df = df.withColumns({"game_id": F.lit("g"), "fixed_drive": F.lit(None).cast("int"), "play_type": F.lit(" Field Goal ")})
+    """Each label at its bound and just beyond it; null in, null out, but for the two-valued flags."""
+    cols = "down int, ydstogo int, yardline_100 int, score_differential int, wp double, qtr int, game_seconds_remaining double"
+    togo = {1: "short", 2: "short", 3: "medium", 6: "medium", 7: "long", 10: "long", 11: "very_long", 40: "very_long"}
+    yard = {0: "red_zone", 20: "red_zone", 21: "opponent_territory", 40: "opponent_territory", 41: "midfield", 60: "midfield", 61: "own_territory", 80: "own_territory", 81: "backed_up", 99: "backed_up"}
+    score = {-30: "trailing_big", -17: "trailing_big", -16: "trailing_two_scores", -9: "trailing_two_scores", -8: "trailing_one_score", -1: "trailing_one_score", 0: "tied", 1: "leading_one_score", 8: "leading_one_score",
+             9: "leading_two_scores", 16: "leading_two_scores", 17: "leading_big"}
+    rows = [(2, n, None, None, None, None, None) for n in togo] + [(None, None, n, None, None, None, None) for n in yard] + [(None, None, None, n, None, None, None) for n in score]
+    df = spark.createDataFrame(rows, cols).withColumns({"game_id": F.lit("g"), "fixed_drive": F.lit(None).cast("int"), "play_type": F.lit(" Extra  Point ")})
     got = plays.with_labels(df).collect()
-    assert [r.distance for r in got] == ["long", "short", "long", "very_long", None]
-    assert [r.zone for r in got] == ["own_territory", "red_zone", "midfield", "backed_up", None]
-    assert [r.score_state for r in got] == ["tied", "trailing_big", "leading_one_score", "trailing_one_score", None]
-    assert [r.neutral for r in got] == [True, False, False, True, False] and [r.garbage for r in got] == [False, True, True, False, False]
-    assert got[0].kind == "field_goal" and got[0].drive_key is None
+    assert {r.ydstogo: r.distance for r in got if r.down} == togo
+    assert {r.yardline_100: r.zone for r in got if r.yardline_100 is not None} == yard
+    assert {r.score_differential: r.score_state for r in got if r.score_differential is not None} == score
+    assert got[-1].distance is None and got[-1].zone is None and got[0].score_state is None and not got[0].neutral and not got[0].garbage
+    assert got[0].kind == "extra_point" and got[0].drive_key is None
+    flags = {(0.2, 3, 500.0): (True, False), (0.19, 3, 500.0): (False, False), (0.8, 2, 1921.0): (True, False), (0.8, 2, 1920.0): (False, False), (0.5, 4, 500.0): (False, False), (0.96, 4, 5.0): (False, True), (0.95, 4, 5.0): (False, False),
+             (0.04, 5, None): (False, True), (0.5, None, 500.0): (False, False)}
+    df = spark.createDataFrame([(None, None, None, None, *k) for k in flags], cols).withColumns({"game_id": F.lit("g"), "fixed_drive": F.lit(3), "play_type": F.lit(None).cast("string")})
+    assert {(r.wp, r.qtr, r.game_seconds_remaining): (r.neutral, r.garbage) for r in plays.with_labels(df).collect()} == flags
 
 
 def test_store(spark, tmp_path):
@@ -123,9 +133,73 @@ def test_models(spark):
     assert models.rank_auc(scored).first().auc > 0.8 and models.metrics(scored).first().log_loss < 0.55
     with pytest.raises(ValueError, match="only after the play"):
         models.design(df, "posteam_won", ["epa"])
-    v = spark.createDataFrame([(0.1, 0.0), (0.4, 0.0), (0.35, 1.0), (0.8, 1.0)], "p double, label double")
-    assert models.rank_auc(v).first().auc == 0.75
+    # of six pairs four are in order and one is tied
+    v = spark.createDataFrame([(0.2, 0.0), (0.6, 0.0), (0.6, 1.0), (0.9, 1.0), (0.3, 1.0)], "p double, label double")
+    assert models.rank_auc(v).first().auc == pytest.approx(4.5 / 6)
     assert models.rank_auc(v.where("label = 1")).first().auc is None
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit(train.where("false"), ["score_differential", "yardline_100"])
+
+
+def test_models_are_loaded_as_saved(spark, tmp_path):
+    rows = [(2000, float(i % 7), float(i % 2 if i % 7 < 4 else 1)) for i in range(200)]
+    train = spark.createDataFrame(rows, "season int, x double, label double")
+    for kind in ("network", "trees"):
+        model = models.fit(train, ["x"], kind, train.limit(50))
+        models.save(model, str(tmp_path / kind))
+        p = lambda m: [round(r.p, 9) for r in models.score(m, train.limit(20)).collect()]
+        assert p(model) == p(models.load(str(tmp_path / kind)))
+    rate = train.limit(1).select(models.base_rate(train).alias("b")).first().b
+    assert rate == pytest.approx(sum(y for _, _, y in rows) / 200)
+
+
+def test_percentiles_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, rng.random(), 0.5, float(rng.randrange(4))])) for _ in range(3000)] + [("only nulls", None)]
+    got = {r.k: r for r in quantiles.exact(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"low": 0.1, "mid": 0.5, "high": 0.99}, parts=7).collect()}
+    for k in {k for k, _ in rows}:
+        known = sorted(v for g, v in rows if g == k and v is not None)
+        want = [known[math.ceil(p * len(known)) - 1] if known else None for p in (0.1, 0.5, 0.99)]
+        assert [got[k].low, got[k].mid, got[k].high] == want and got[k].n == sum(g == k for g, _ in rows)
+
+
+def test_samples_weeks_and_loads(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", 2020 + i % 3, i % 20 + 1) for i in range(300)], "k string, season int, week int")
+    a, b = tables.seeded_sample(df, "k", 20, 1), tables.seeded_sample(df.repartition(13), "k", 20, 1)
+    assert sorted(a.collect()) == sorted(b.collect()) != sorted(tables.seeded_sample(df, "k", 20, 2).collect())
+    assert {(r.season, r.week) for r in tables.in_weeks(df, [202003], ["2021-08"]).collect()} == {(2020, 3), (2021, 8)} and tables.in_weeks(df, [], []).count() == 0
+    assert tables.load(df, str(tmp_path / "t"), 300) == 300
+    with pytest.raises(ValueError, match="300 rows loaded"):
+        tables.load(df, str(tmp_path / "u"), 299)
+    assert not (tmp_path / "u").exists()
+    none = tables.table_or_empty(spark, str(tmp_path), "absent", "a int, b string")
+    assert none.columns == ["a", "b"] and none.count() == 0
+    assert tables.capped(df, 7).count() == 7
+
+
+def test_names_in_texts(spark):
+    docs = spark.createDataFrame([(1, "The St. Mary Old Boys' team beat MARY OLD 3-1; Mary Old's win."), (2, None), (3, ""), (4, "old boys"), (5, "Élan Nord Élan Nord")], "i int, t string")
+    known = spark.createDataFrame([("St. Mary Old Boys",), ("Mary Old, Jr.",), ("élan nord",), ("Old Boys",)], "n string").select(names.name_key(F.col("n")).alias("name_key"))
+    got = sorted((r.i, r.start, r["name_key"]) for r in names.mentions(docs, "i", "t", known).collect())
+    assert got == [(1, 1, "st mary old boys"), (1, 7, "mary old"), (1, 11, "mary old"), (4, 0, "old boys"), (5, 0, "élan nord"), (5, 2, "élan nord")]
+    n = spark.range(1, 1000).select(F.col("id").cast("int").alias("n")).withColumn("r", names.roman(F.col("n"))).withColumn("back", names.from_roman(F.col("r")))
+    assert n.where("back <> n OR r IS NULL").count() == 0 and n.where("n = 949").first().r == "CMXLIX"
+    odd = spark.createDataFrame([("IIII",), ("",), (None,), ("x ",), ("abc",), ("IXI",)], "r string").select(names.from_roman(F.col("r")).alias("v")).collect()
+    assert [r.v for r in odd] == [None, None, None, 10, None, None]
+
+
+def test_an_index_is_brought_up_to_date(spark):
+    docs = spark.createDataFrame([(1, "same"), (2, "changed"), (3, "new"), (4, None)], "i int, t string")
+    index = retrieval.index_updates(docs.withColumn("t", F.when(F.col("i") == 2, "before").otherwise(F.col("t"))).where("i IN (1, 2)"), docs.select("i", F.lit("").alias("digest")).limit(0), "i", "t")
+    due = retrieval.index_updates(docs, index, "i", "t").collect()
+    assert sorted(r.i for r in due) == [2, 3, 4] and {len(r.vector) for r in due} == {256}
+    assert {r.i: round(sum(x * x for x in r.vector), 5) for r in due} == {2: 1.0, 3: 1.0, 4: 0.0}
+    retrieval.require_space({"model": "hashed", "size": 256}, "hashed", 256)
+    with pytest.raises(ValueError, match="vectors of 256"):
+        retrieval.require_space({"model": "hashed", "size": 256}, "hashed", 96)
 
 
 def test_stream_equals_batch_across_restarts(spark, tmp_path):
