@@ -23,6 +23,8 @@ BEAM, PROBES, RERANK = 6, 4, 160
 CELL, DEPTH = 8192, 3
 #: Prefixes that are divided are known to every task; beyond so many, cells are searched in blocks instead.
 MAX_DIVIDED = 1 << 20
+#: Vectors looked up in a cell that meet its members in one group; and divided cells of which a list is still broadcast.
+CHUNK, MOST_BROADCAST = 2048, 100_000
 #: Rows an encoding task holds at once to find copies among them.
 HELD = 65_536
 #: Vectors have the same direction if their cosine is no further below 1: multiples of each other in single precision are within it.
@@ -176,19 +178,26 @@ def _placer(divided: Broadcast, depth: int):
     return run
 
 
-def _placed_cells(distinct: DataFrame, divided: Broadcast, crowded: bool, depth: int = DEPTH) -> DataFrame:
+def _placed_cells(distinct: DataFrame, divided: Broadcast, n: int, depth: int = DEPTH) -> DataFrame:
     """Each vector once for every cell it is looked up in: ``cell``, ``block``, ``chunk``, whether it ``asks`` there and is a ``member``.
 
-    A cell of more than ``CELL`` members is cut into blocks of its members and chunks of those looked up there, each chunk
-    meeting each block in a group of its own, so that no group holds more than about twice ``CELL`` vectors.
+    Cells differ in what they hold, and more in who comes by: a cell of more than ``CELL`` members is cut into blocks of them, and those
+    looked up in a cell into chunks of ``CHUNK``, each chunk meeting each block in a group of its own. So no group
+    grows with the data, and members, being few where many come by, are what is repeated.
     """
-    placed = distinct.select("ids", "vector", "code", "norm", "beam").mapInArrow(_placer(divided, depth), _PLACED)
-    cells = placed.select("ids", "vector", "code", "norm", F.explode("cells").alias("at")).select("ids", "vector", "code", "norm", "at.cell", "at.home")
-    if not crowded:
+
+    def placed(*columns: str) -> DataFrame:
+        kept = [F.col(c) if c in columns else F.lit(None).cast(kind).alias(c) for c, kind in (("ids", "array<bigint>"), ("vector", "binary"), ("code", "binary"), ("norm", "float"))]
+        at = distinct.select(*kept, "beam").mapInArrow(_placer(divided, depth), _PLACED)
+        return at.select(*columns, F.explode("cells").alias("at")).select(*columns, "at.cell", "at.home")
+
+    cells = placed("ids", "vector", "code", "norm")
+    if n <= CHUNK:
         return cells.select("cell", F.lit(0).alias("block"), F.lit(0).alias("chunk"), "ids", "vector", "code", "norm", F.lit(True).alias("asks"), F.col("home").alias("member"))
-    load = cells.groupBy("cell").agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("visitors")).where(F.col("members") > CELL)
-    parts = lambda c: F.ceil(F.col(c) / CELL).cast("int")
-    known = cells.join(load.select("cell", parts("members").alias("n_blocks"), parts("visitors").alias("n_chunks")), "cell", "left")
+    counted = placed("code").groupBy("cell").agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("visitors"))
+    parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    load = cut(counted.where((F.col("members") > CELL) | (F.col("visitors") > CHUNK)).select("cell", F.greatest(parts("members", CELL), F.lit(1)).alias("n_blocks"), parts("visitors", CHUNK).alias("n_chunks")))
+    known = cells.join(F.broadcast(load) if load.count() <= MOST_BROADCAST else load, "cell", "left")
     key = F.xxhash64(F.col("ids")[0])
     own_block, own_chunk = F.pmod(key, F.col("n_blocks")).cast("int"), F.pmod(F.xxhash64(key), F.col("n_chunks")).cast("int")
 
@@ -337,13 +346,10 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     # which prefixes hold too many vectors: at most n / limit of them for each number of words come to the driver
     n = distinct.count()
     limit = max(CELL, n * DEPTH // MAX_DIVIDED)
-    prefixes = distinct.select(F.explode(F.array(*[F.expr(f"substring(code, 1, {2 * w})") for w in range(1, DEPTH + 1)])).alias("cell"))
-    large = cut(prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL))
-    shorter = F.length("cell") < 2 * DEPTH
-    divided = frozenset(bytes(r.cell) for r in large.where(shorter & (F.col("n") > limit)).select("cell").collect())
-    crowded = large.where(~shorter | (F.col("n") <= limit)).limit(1).count() > 0
-
-    cells = _placed_cells(distinct, spark.sparkContext.broadcast(divided), crowded)
+    prefixes = distinct.select(F.explode(F.array(*[F.expr(f"substring(code, 1, {2 * w})") for w in range(1, DEPTH)])).alias("cell"))
+    large = prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    divided = frozenset(bytes(r.cell) for r in large.select("cell").collect())
+    cells = _placed_cells(distinct, spark.sparkContext.broadcast(divided), n)
     found = cells.groupBy("cell", "block", "chunk").applyInArrow(_searcher(shared, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
 
     # an id was looked up in a few cells (or blocks): their lists are short and few

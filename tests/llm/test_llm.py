@@ -141,6 +141,7 @@ def test_large_cells_are_divided(spark, monkeypatch):
 def test_groups_of_a_tight_cluster_stay_small(spark, monkeypatch):
     """Vectors that the words can't tell apart: no group grows with them, and the search is as good as exact."""
     monkeypatch.setattr(neighbours, "CELL", 40)
+    monkeypatch.setattr(neighbours, "CHUNK", 40)
     monkeypatch.setattr(neighbours, "FIRST", 1)
     monkeypatch.setattr(neighbours, "RESIDUAL", (2,) * 8)
     seen = []
@@ -159,6 +160,22 @@ def test_groups_of_a_tight_cluster_stay_small(spark, monkeypatch):
     assert sum(len(right[i] & set(found[i])) for i in range(1200)) >= 0.9 * 5 * 1200
 
 
+def test_many_who_come_by_a_small_cell(spark, monkeypatch):
+    """Vectors between two words come by both, members or not: they meet a small cell's members in chunks."""
+    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    monkeypatch.setattr(neighbours, "PER_WORD", 400)
+    seen = []
+    real = neighbours._placed_cells
+    monkeypatch.setattr(neighbours, "_placed_cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(12)]) for i in range(1200)]
+    got = {tuple(r) for r in neighbours.nearest_pairs(spark.createDataFrame(rows, "doc_id long, embedding array<float>"), 5, 12).collect()}
+    most = seen[0].groupBy("cell", "block", "chunk").agg(F.count_if("asks").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 2 * 50
+    want = brute(rows, 5, 12)
+    assert len(got & want) / len(want) > 0.99
+
+
 # --- tokens
 
 TEXTS = [
