@@ -72,6 +72,14 @@ def p4_found(spark, sf_dir):
     return delivery.dropped(*tables(spark, sf_dir, "feed", "dim_team"))
 
 
+@registry.query("p4_absorbed", _FEED + "SELECT partition_no, msg_offset, received_at >= '2018-01-01' AS is_new FROM marked WHERE NOT is_copy")
+def p4_absorbed(spark, sf_dir):
+    """The deliveries to keep, where those from 2018 on come as a batch to what is stored."""
+    feed, teams = tables(spark, sf_dir, "feed", "dim_team")
+    kept = delivery.feed_absorbed(feed.select("partition_no", "msg_offset", "game_id", "sequence_no", "received_at"), teams, "2018-01-01")
+    return kept.select("partition_no", "msg_offset", (F.col("received_at") >= "2018-01-01").alias("is_new"))
+
+
 @registry.query(
     "p4_games",
     _FEED + "SELECT game_key, count(*) AS n_results, count(*) FILTER (WHERE NOT coalesce(is_final, false)) AS n_plays FROM marked WHERE NOT is_copy GROUP BY 1",

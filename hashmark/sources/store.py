@@ -99,6 +99,35 @@ def content_hash(df: DataFrame, columns: list[str], by: list[str] | None = None)
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(columns)).alias("h"))
 
 
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name``, ``n_rows``, ``h``: what tables hold, to be stored and verified later."""
+    each = [content_hash(df, sorted(df.columns)).select(F.lit(name).alias("table_name"), "n_rows", "h") for name, df in tables.items()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def drifted(noted: DataFrame, now: DataFrame) -> DataFrame:
+    """``table_name``, ``state``: tables added, removed or changed since the manifest ``noted``."""
+    return changed_partitions(noted, now, "table_name")
+
+
+def rebuild_plan(noted: DataFrame | None, now: DataFrame, by: str, same_code: bool) -> tuple[str, str]:
+    """Whether a build has to be ``full`` or may be ``incremental`` (or is not needed: ``none``), and why.
+
+    ``noted`` and ``now`` are content hashes by partition (``by``, ``h``); no record, other code and a partition that is gone ask for a full build.
+    """
+    if noted is None:
+        return "full", "no record of a build"
+    if not same_code:
+        return "full", "the code changed"
+    states = {r.state: r.n for r in changed_partitions(noted, now, by).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if states.get("removed"):
+        return "full", f"{states['removed']} partitions are gone"
+    return ("incremental", f"{sum(states.values())} partitions are new or changed") if states else ("none", "nothing changed")
+
+
 def changed_partitions(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     """Partitions added, removed or changed between two states of content hashes (``by``, ``h``); a null ``by`` is a partition too."""
     a, b = before.select(F.col(by).alias("_by"), "h", F.lit(True).alias("there")).alias("a"), after.select(F.col(by).alias("_by"), "h", F.lit(True).alias("there")).alias("b")

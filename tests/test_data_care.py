@@ -86,6 +86,18 @@ def test_copies(spark):
     assert delivery.dropped(spark.createDataFrame([], FEED), teams(spark)).count() == 0
 
 
+def test_absorbing_batches_keeps_what_marking_at_once_keeps(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(0, i, rng.choice(["g_1", "G-1", "g_2", None, " "]), rng.choice([1, 2, 3, None]), rng.choice([day(d) for d in range(6)] + [None]), None, "a", "b") for i in range(120)]
+    feed = spark.createDataFrame(rows, FEED)
+    want = {(r.partition_no, r.msg_offset) for r in delivery.feed_marked(feed, teams(spark)).where("NOT is_copy").collect()}
+    for moment in ("2000-01-01", str(day(2)), str(day(4)), "2100-01-01"):
+        got = delivery.feed_absorbed(feed, teams(spark), moment).collect()
+        assert {(r.partition_no, r.msg_offset) for r in got} == want and len(got) == len(want)
+
+
 def test_copies_of_a_hot_message(spark):
     import hashmark.operators.skew as skew
 

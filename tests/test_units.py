@@ -79,6 +79,17 @@ def test_store(spark, tmp_path):
     assert store.read_csv(spark, d + "/t.csv", "team string, n int").first().n == 1
 
 
+def test_what_must_be_built_again(spark):
+    rows = spark.createDataFrame([(2020, 1), (2020, 2), (2021, 3), (None, 4)], "season int, v int")
+    by = lambda df: store.content_hash(df, ["v"], ["season"])
+    plan = lambda *a: store.rebuild_plan(*a, "season", True)[0]
+    assert plan(None, by(rows)) == "full" and store.rebuild_plan(by(rows), by(rows), "season", False)[0] == "full"
+    assert plan(by(rows), by(rows)) == "none" and plan(by(rows), by(rows.where("season = 2020 OR season IS NULL"))) == "full"
+    assert plan(by(rows), by(rows.withColumn("v", F.when(F.col("season").isNull(), 9).otherwise(F.col("v"))))) == "incremental"
+    noted, now = store.manifest({"a": rows, "b": rows}), store.manifest({"a": rows.orderBy(F.desc("v")), "c": rows})
+    assert {tuple(r) for r in store.drifted(noted, now).collect()} == {("b", "removed"), ("c", "added")}
+
+
 def test_kept_tables_replace_each_other(spark):
     from hashmark.session import Kept, hadoop_path
 
