@@ -25,6 +25,8 @@ CELL, DEPTH = 8192, 3
 MAX_DIVIDED = 1 << 20
 #: Vectors looked up in a cell that meet its members in one group; and divided cells of which a list is still broadcast.
 CHUNK, MOST_BROADCAST = 2048, 100_000
+#: Rows that a searching task reads on average, whatever the cluster's setting for shuffles.
+TASK_ROWS = 32_768
 #: Rows an encoding task holds at once to find copies among them.
 HELD = 65_536
 #: Vectors have the same direction if their cosine is no further below 1: multiples of each other in single precision are within it.
@@ -350,7 +352,8 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     large = prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     divided = frozenset(bytes(r.cell) for r in large.select("cell").collect())
     cells = _placed_cells(distinct, spark.sparkContext.broadcast(divided), n)
-    found = cells.groupBy("cell", "block", "chunk").applyInArrow(_searcher(shared, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-PROBES * n // TASK_ROWS))
+    found = cells.repartition(tasks, "cell", "block", "chunk").groupBy("cell", "block", "chunk").applyInArrow(_searcher(shared, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
 
     # an id was looked up in a few cells (or blocks): their lists are short and few
     merged = found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"))
