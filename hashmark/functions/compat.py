@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def max_by_known(value: Column, by: Column) -> Column:
@@ -37,3 +38,8 @@ def bucket(c: Column, bounds: list[tuple[float, str]], beyond: str) -> Column:
     for limit, label in bounds:
         out = out.when(c <= limit, label)
     return out.otherwise(beyond)
+
+
+def as_date(df: DataFrame, c: str) -> Column:
+    """A column as a date: text is read as ISO dates, what isn't one becomes null; dates and times are cast."""
+    return F.try_to_date(F.col(c)) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).cast("date")

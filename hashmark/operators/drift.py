@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -187,16 +188,21 @@ def changes(stg: DataFrame, dim_team: DataFrame) -> DataFrame:
     former name. A type not known so far (nothing but nulls) is no change of type.
     """
     order, cat, born, gone, renamed, heirs = study(stg, dim_team)
-    out = ["feed_name", "seq", "change_kind", "field_name", "former_name", "former_type", "type"]
-    none = F.lit(None).cast("string")
-    unlike = F.col("former_type") != F.col("type")
-    as_renamed = heirs.select("feed_name", "seq", F.lit("renamed").alias("change_kind"), F.col("new").alias("field_name"), F.col("old").alias("former_name"), F.col("old_type").alias("former_type"), F.col("new_type").alias("type"))
-    added = born.join(renamed, ["feed_name", "seq", "new"], "left_anti").select("feed_name", "seq", F.lit("added").alias("change_kind"), F.col("new").alias("field_name"), none.alias("former_name"), none.alias("former_type"), F.col("new_type").alias("type"))
-    removed = gone.join(renamed, ["feed_name", "seq", "old"], "left_anti").select("feed_name", "seq", F.lit("removed").alias("change_kind"), F.col("old").alias("field_name"), none.alias("former_name"), F.col("old_type").alias("former_type"), none.alias("type"))
-    stayed = cat.select("feed_name", "seq", F.lit("retyped").alias("change_kind"), F.col("field").alias("field_name"), F.col("field").alias("former_name"), "former_type", "type").where(unlike)
-    retyped = as_renamed.where(unlike).withColumn("change_kind", F.lit("retyped"))
-    log = as_renamed.select(*out).unionByName(added.select(*out)).unionByName(removed.select(*out)).unionByName(stayed.select(*out)).unionByName(retyped.select(*out))
-    return log.join(order.select("feed_name", "seq", "file_name"), ["feed_name", "seq"]).select("feed_name", "file_name", *out[2:])
+    c, none = F.col, F.lit(None).cast("string")
+
+    def entries(df: DataFrame, kind: str, field: Column, former: Column = none, former_type: Column = none, new_type: Column = none) -> DataFrame:
+        of = {"field_name": field, "former_name": former, "former_type": former_type, "type": new_type}
+        return df.select("feed_name", "seq", F.lit(kind).alias("change_kind"), *[x.alias(n) for n, x in of.items()])
+
+    log = [
+        entries(heirs, "renamed", c("new"), c("old"), c("old_type"), c("new_type")),
+        entries(born.join(renamed, ["feed_name", "seq", "new"], "left_anti"), "added", c("new"), new_type=c("new_type")),
+        entries(gone.join(renamed, ["feed_name", "seq", "old"], "left_anti"), "removed", c("old"), former_type=c("old_type")),
+        entries(cat.where("former_type <> type"), "retyped", c("field"), c("field"), c("former_type"), c("type")),
+        entries(heirs.where("old_type <> new_type"), "retyped", c("new"), c("old"), c("old_type"), c("new_type")),
+    ]
+    named = order.select("feed_name", "seq", "file_name")
+    return reduce(DataFrame.unionByName, log).join(named, ["feed_name", "seq"]).drop("seq")
 
 
 def change_cases(stg: DataFrame, dim_team: DataFrame) -> DataFrame:

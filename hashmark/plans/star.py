@@ -167,6 +167,39 @@ def star_tendencies(spark, d):
     return rounded(star.tendency_table(_star(spark, d)[0]), *means)
 
 
+@q("star_teams", "SELECT t.team, team_name, conference, division, (SELECT list_sort(list(o.team)) FROM dim_team o WHERE o.division = t.division AND o.conference = t.conference AND o.team <> t.team) AS rivals FROM dim_team t")
+def star_teams(spark, d):
+    """Clubs, each with the other clubs of its division: grouped lists that are looked up."""
+    t = table(spark, d, "dim_team")
+    by_division = t.groupBy("conference", "division").agg(F.array_sort(F.collect_set("team")).alias("clubs"))
+    return t.join(by_division, ["conference", "division"]).select("team", "team_name", "conference", "division", F.array_remove("clubs", F.col("team")).alias("rivals"))
+
+
+_BUCKET = "CASE WHEN ydstogo <= 2 THEN 1 WHEN ydstogo <= 6 THEN 2 WHEN ydstogo <= 10 THEN 3 ELSE 4 END"
+
+
+@q(
+    "predictability",
+    f"""WITH {_STAGED}, c AS (SELECT posteam, season, down, {_BUCKET} AS togo, is_pass_call::INT AS called, epa FROM fact WHERE is_designed_play AND is_pass_call IS NOT NULL AND down IS NOT NULL AND ydstogo IS NOT NULL AND posteam IS NOT NULL),
+usual AS (SELECT down, togo, (avg(called) >= 0.5)::INT AS guess FROM c WHERE season < 2014 GROUP BY 1, 2),
+t AS (SELECT posteam AS team, season, count(*) AS n, avg((called = guess)::INT) AS share, avg(epa) FILTER (WHERE NOT isnan(epa)) AS epa FROM c JOIN usual USING (down, togo) WHERE season >= 2014 GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT count(*) AS n_groups, round(avg(share), 6) AS mean_share, round(min(share), 6) AS least, round(max(share), 6) AS most, CASE WHEN count(*) >= 3 THEN round(corr(share, epa), 6) END AS r FROM t""",
+)
+def predictability(spark, d):
+    """How often the call usual for a down and distance in earlier seasons is what a team did later, and whether predictable teams do worse."""
+    fact = _star(spark, d)[0].where("is_designed_play AND is_pass_call IS NOT NULL AND down IS NOT NULL AND ydstogo IS NOT NULL AND posteam IS NOT NULL")
+    togo = F.when(F.col("ydstogo") <= 2, 1).when(F.col("ydstogo") <= 6, 2).when(F.col("ydstogo") <= 10, 3).otherwise(4)
+    calls = fact.select(F.col("posteam").alias("team"), "season", "down", togo.alias("togo"), F.col("is_pass_call").cast("int").alias("called"), F.nanvl("epa", F.lit(None).cast("double")).alias("epa"))
+    usual = calls.where("season < 2014").groupBy("down", "togo").agg((F.avg("called") >= 0.5).cast("int").alias("guess"))
+    by_team = calls.where("season >= 2014").join(usual, ["down", "togo"]).groupBy("team", "season").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("called") == F.col("guess")).cast("int")).alias("share"), F.avg("epa").alias("epa")
+    )
+    r = F.when(F.count(F.lit(1)) >= 3, F.round(F.corr("share", "epa"), 6))
+    return by_team.where("n >= 20").agg(
+        F.count(F.lit(1)).alias("n_groups"), F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.min("share"), 6).alias("least"), F.round(F.max("share"), 6).alias("most"), r.alias("r")
+    )
+
+
 # --- documents
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hashmark.functions.compat import floor_zero, is_true, max_by_known
+from hashmark.functions.compat import as_date, floor_zero, is_true, max_by_known
 from hashmark.functions.fuzzy import alike_names, jaro_winkler
 from hashmark.operators import models, plays, quality, quantiles, retrieval
 from hashmark.plans.registry import Registry
@@ -64,7 +64,7 @@ def contract_project(spark, d):
         (F.col("l_discount") != 0).alias("discounted"),
         F.lit(None).cast("string").alias("note"),
         floor_zero(F.col("l_quantity") - 25).cast("double").alias("above_25"),
-        F.col("l_shipdate").cast("date").cast("string").alias("ship_date"),
+        as_date(li, "l_shipdate").cast("string").alias("ship_date"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("line_key"),
     )
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashmark.functions.compat import bucket, floor_zero, max_by_known, min_by_known, ratio
+from hashmark.functions.compat import as_date, bucket, floor_zero, max_by_known, min_by_known, ratio
 from hashmark.functions.fuzzy import _jaro_winkler, alike_names
 from hashmark.functions import names
 from hashmark.functions.ids import game_key, player_key
@@ -24,6 +24,13 @@ def test_ids(spark):
     assert [r.p for r in got][1:5] == [None, None, None, "00_0001"]
 
 
+def test_dates_of_any_type(spark):
+    df = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("soon",), (None,)], "d string")
+    assert [str(r.d) for r in df.select(as_date(df, "d").alias("d")).collect()] == ["2024-02-29", "None", "None", "None"]
+    times = df.limit(1).select(F.lit("2024-05-06 07:08:09").cast("timestamp").alias("d"))
+    assert str(times.select(as_date(times, "d").alias("d")).first().d) == "2024-05-06"
+
+
 def test_known_extremes(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 7), (4, None)], "t int, v int")
     r = df.agg(max_by_known(F.col("v"), F.col("t")).alias("a"), min_by_known(F.col("v"), F.col("t")).alias("b"), ratio(F.sum("v"), F.lit(0)).alias("c")).first()
