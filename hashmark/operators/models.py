@@ -55,6 +55,17 @@ def fit(train: DataFrame, features: list[str], kind: str = "logistic", valid: Da
     return Pipeline(stages=[assembled, scaled, learner]).fit(rows)
 
 
+def best(train: DataFrame, valid: DataFrame, features: list[str], kinds: list[str]):
+    """Of models of several kinds the one whose log loss on the validation rows is least; the first kind, to be the plainest, where there are none.
+
+    Few rows suit a plain model, many a network: the validation seasons tell which.
+    """
+    fitted = {k: fit(train, features, k, valid) for k in kinds}
+    losses = {k: metrics(score(m, valid)).first().log_loss for k, m in fitted.items()}
+    known = {k: x for k, x in losses.items() if x is not None and x == x}
+    return fitted[min(known, key=known.get) if known else kinds[0]]
+
+
 def save(model, path: str) -> None:
     """A fitted pipeline with its scaler, so that it predicts the same wherever it is loaded."""
     model.write().overwrite().save(path)

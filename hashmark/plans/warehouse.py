@@ -566,6 +566,7 @@ def possession_flip(spark, d):
 
 #: Seasons up to the first are for training, from the second on for testing; those between are for validation.
 FIRST_VALID, FIRST_TEST = 2014, 2016
+WIN_KINDS = ["logistic", "network"]
 _TEST = f"""{LATEST}, frame AS (SELECT season, posteam_won::INT::DOUBLE AS label, wp FROM latest WHERE posteam_won IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in models.PRE_SNAP)})"""
 
 
@@ -576,9 +577,9 @@ def _frame(spark, d, target):
 
 @q("win_model")
 def win_model(spark, d):
-    """A network for winning trained on earlier seasons, scored on later ones."""
-    train, _, test = models.season_split(_frame(spark, d, "posteam_won"), FIRST_VALID, FIRST_TEST)
-    return models.metrics(models.score(models.fit(train, models.PRE_SNAP, "network"), test))
+    """A network for winning, or a plain model where the validation seasons prefer it, trained on earlier seasons and scored on later ones."""
+    train, valid, test = models.season_split(_frame(spark, d, "posteam_won"), FIRST_VALID, FIRST_TEST)
+    return models.metrics(models.score(models.best(train, valid, models.PRE_SNAP, WIN_KINDS), test))
 
 
 @q("play_call_model")
@@ -592,7 +593,7 @@ def play_call_model(spark, d):
 def model_gates(spark, d):
     """What the win model must do before it is published: finite predictions and a log loss below that of the base rate of its training seasons."""
     train, valid, test = models.season_split(_frame(spark, d, "posteam_won"), FIRST_VALID, FIRST_TEST)
-    scored = cut(models.score(models.fit(train, models.PRE_SNAP, "network", valid), test).select("label", "p", models.base_rate(train).alias("base")))
+    scored = cut(models.score(models.best(train, valid, models.PRE_SNAP, WIN_KINDS), test).select("label", "p", models.base_rate(train).alias("base")))
     base_loss = models.metrics(scored, "base").select("log_loss").scalar()
     finite = ~F.isnan("log_loss") & F.col("log_loss").isNotNull()
     return models.metrics(scored).select(F.lit("win").alias("model"), "n", finite.alias("finite"), (F.col("log_loss") < base_loss).alias("beats_base_rate"))

@@ -167,6 +167,7 @@ def test_models_are_loaded_as_saved(spark, tmp_path):
         models.save(model, str(tmp_path / kind))
         p = lambda m: [round(r.p, 9) for r in models.score(m, train.limit(20)).collect()]
         assert p(model) == p(models.load(str(tmp_path / kind)))
+    assert models.best(train, train.limit(40), ["x"], ["network", "logistic"]).stages[-1].numClasses == 2 and models.best(train, train.where("false"), ["x"], ["logistic"]).stages[-1].numFeatures == 1
     rate = train.limit(1).select(models.base_rate(train).alias("b")).first().b
     assert rate == pytest.approx(sum(y for _, _, y in rows) / 200)
 
