@@ -80,7 +80,9 @@ def _sample(vectors: DataFrame, dims: int, size: int) -> np.ndarray:
     scale = 1 << 32
     share = min(1.0, size / max(n, 1))
     drawn = vectors.where((F.size("vector") == dims) & (F.pmod(F.xxhash64("id"), F.lit(scale)) < int(share * scale)))
-    table = drawn.select("vector").limit(2 * size).toArrow()
+    # ids that repeat are drawn together: only then a limit is needed, which passes through one task
+    many = drawn.count() > 2 * size
+    table = drawn.select("vector").limit(2 * size).toArrow() if many else drawn.select("vector").toArrow()
     found = [_usable(b, 0, dims)[1] for b in table.to_batches()]
     x = np.concatenate(found) if found else np.zeros((0, dims))
     return _unit(x).astype(np.float32) if len(x) else x.astype(np.float32)
@@ -309,8 +311,10 @@ def _searched_everywhere(short: DataFrame, distinct: DataFrame, n: int, n_short:
     """``id``, ``all``: the best of all vectors for the few of ``short`` (``id``), in blocks of both."""
     blocks, chunks = -(-n // CELL), -(-n_short // CELL)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = distinct.select(F.explode("ids").alias("id"), "vector").join(short, "id").select(F.array("id").alias("ids"), "vector", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), every(blocks).alias("block"))
-    members = distinct.select("ids", "vector", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    single = distinct.select(F.explode("ids").alias("id"), "vector").join(short, "id")
+    asked = single.select(F.array("id").alias("ids"), "vector", block(F.col("id"), chunks).alias("chunk"), every(blocks).alias("block"))
+    members = distinct.select("ids", "vector", block(F.col("ids")[0], blocks).alias("block"), every(chunks).alias("chunk"))
     both = asked.withColumn("member", F.lit(False)).unionByName(members.withColumn("member", F.lit(True)))
     found = both.groupBy("block", "chunk").applyInArrow(_exact(dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
     return found.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("all"))
@@ -370,7 +374,8 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     kind_of = F.array_sort(F.array_append("best", F.struct(F.lit(-1.0).alias("s"), F.col("copy_of").alias("i"))))
     others = unlisted.join(listed.withColumnRenamed("id", "copy_of"), "copy_of").select("id", F.slice(kind_of, 1, k).alias("best"))
     whole = listed.unionByName(others)
-    return whole.select(F.col("id").alias(key), F.transform("best", lambda x: F.struct((-x["s"]).alias("similarity"), x["i"].alias(key))).alias("neighbours")).select(F.col(key).cast(kind), F.col("neighbours").cast(out.split(", neighbours ", 1)[1]))
+    neighbours = F.transform("best", lambda x: F.struct((-x["s"]).alias("similarity"), x["i"].alias(key)))
+    return whole.select(F.col("id").cast(kind).alias(key), neighbours.cast(out.split(", neighbours ", 1)[1]).alias("neighbours"))
 
 
 def nearest_pairs(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", vector: str = "embedding") -> DataFrame:

@@ -132,7 +132,9 @@ def faults(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) ->
     """``key``, ``in_order``, ``cut_only_beyond``, ``within``: whether an item's pieces are numbered 0, 1, .. without gap, all but the
     last full (so that none is cut that fits), and all their containers within the capacity."""
     used = packed.groupBy("container").agg((F.sum("size") <= capacity).alias("within"))
-    placed = packed.join(used, "container").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b"), F.count_if(F.col("size") == capacity).alias("n_full"), F.bool_and("within").alias("within"))
+    full = F.count_if(F.col("size") == capacity)
+    counts = [F.count(F.lit(1)).alias("n"), F.min("piece").alias("a"), F.max("piece").alias("b"), full.alias("n_full"), F.bool_and("within").alias("within")]
+    placed = packed.join(used, "container").groupBy(key).agg(*counts)
     return placed.select(key, ((F.col("a") == 0) & (F.col("b") + 1 == F.col("n"))).alias("in_order"), (F.col("n_full") >= F.col("n") - 1).alias("cut_only_beyond"), "within")
 
 
