@@ -82,20 +82,21 @@ def examples(df: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def failures(df: DataFrame, checks: list[Check], n_examples: int = 3) -> DataFrame:
-    """``check_name``, ``column_name``, ``n_failed``, ``n_rows``, ``examples``: every check of a table in one pass, with the least
-    few (as text) of the distinct values that fail. Failing values are counted by value before they meet, so
-    a task never holds more than what fails; a table that breaks its contract everywhere has many.
+    """``check_name``, ``column_name``, ``n_failed``, ``n_rows``, ``examples``: every check of a table, with the least few (as
+    text) of the distinct values that fail it.
+
+    All checks are counted in one pass. Another passes on what fails, of which every task keeps only the least few of a
+    check, so that a table which breaks its contract everywhere isn't brought together.
     """
-    fails = [F.coalesce(c.fails, F.lit(False)) for c in checks]
-    hits = F.array(*[F.when(f, F.struct(F.lit(i).alias("i"), F.col(c.column).cast("string").alias("value"))) for i, (c, f) in enumerate(zip(checks, fails))])
-    failing = df.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("f")).groupBy("f.i", "f.value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("i").orderBy(F.col("value").asc_nulls_last())
-    ranked = failing.withColumn("r", F.row_number().over(order))
-    by_check = ranked.groupBy("i").agg(F.sum("n").alias("n_failed"), F.array_sort(F.collect_list(F.when(F.col("r") <= n_examples, F.col("value")))).alias("examples"))
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("check_name"), F.lit(c.column).alias("column_name")) for i, c in enumerate(checks)])
-    named = df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(rows).alias("c")).select("n_rows", "c.*")
-    joined = named.join(F.broadcast(by_check), "i", "left")
-    return joined.select("check_name", "column_name", F.coalesce("n_failed", F.lit(0)).alias("n_failed"), "n_rows", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+    counted = report(df, checks)
+    hits = [F.when(F.coalesce(c.fails, F.lit(False)), F.struct(F.lit(c.name).alias("check_name"), F.lit(c.column).alias("column_name"), F.col(c.column).cast("string").alias("value"))) for c in checks]
+    failing = df.select(F.explode(F.filter(F.array(*hits), lambda x: x["value"].isNotNull())).alias("f")).select("f.*").distinct()
+    least = Window.partitionBy("check_name", "column_name").orderBy("value")
+    few = failing.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= n_examples)
+    shown = few.groupBy("check_name", "column_name").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    # a check and column have one row on either side
+    joined = counted.join(F.broadcast(shown), ["check_name", "column_name"], "left")
+    return joined.select("check_name", "column_name", "n_failed", "n_rows", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def volume(rows: DataFrame, by: list[str], group: str, arrived: str, small: int = 100, large: int = 300, mean: tuple[float, float] = (145, 225), change: float = 0.05) -> DataFrame:

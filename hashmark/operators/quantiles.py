@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from hashmark.session import cut
 
 
+#: Groups whose quantiles may be broadcast.
+FEW = 10_000
+
+
 def exact(df: DataFrame, by: str, value: str, shares: dict[str, float], parts: int = 256) -> DataFrame:
     """``by``, one column for each of ``shares`` (the least value that at least that share of the group doesn't exceed), ``n``.
 
@@ -17,8 +21,9 @@ def exact(df: DataFrame, by: str, value: str, shares: dict[str, float], parts: i
     """
     values = cut(df.groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     known = values.where("_v IS NOT NULL")
-    cuts = known.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_all"))
-    ranged = known.join(cuts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_by")
+    cuts = cut(known.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)]).alias("_cuts"), F.sum("_n").alias("_all")))
+    # few groups may be large ones, whose values then stay where they are; of many groups none is most of the rows, or Spark splits it
+    ranged = known.join(F.broadcast(cuts) if cuts.count() <= FEW else cuts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_by")
     sums = ranged.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_in"))
     below = Window.partitionBy("_by").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_by", "_r", F.coalesce(F.sum("_in").over(below), F.lit(0)).alias("_below"))
