@@ -75,8 +75,7 @@ def _keys(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
 
 
-def _sample(vectors: DataFrame, dims: int, size: int) -> np.ndarray:
-    n = vectors.count()
+def _sample(vectors: DataFrame, dims: int, size: int, n: int) -> np.ndarray:
     scale = 1 << 32
     share = min(1.0, size / max(n, 1))
     drawn = vectors.where((F.size("vector") == dims) & (F.pmod(F.xxhash64("id"), F.lit(scale)) < int(share * scale)))
@@ -190,15 +189,16 @@ def _placed_cells(distinct: DataFrame, divided: Broadcast, n: int, depth: int =
     grows with the data, and members, being few where many come by, are what is repeated.
     """
 
-    def placed(*columns: str) -> DataFrame:
-        kept = [F.col(c) if c in columns else F.lit(None).cast(kind).alias(c) for c, kind in (("ids", "array<bigint>"), ("vector", "binary"), ("code", "binary"), ("norm", "float"))]
-        at = distinct.select(*kept, "beam").mapInArrow(_placer(divided, depth), _PLACED)
-        return at.select(*columns, F.explode("cells").alias("at")).select(*columns, "at.cell", "at.home")
-
-    cells = placed("ids", "vector", "code", "norm")
+    placed = distinct.select("ids", "vector", "code", "norm", "beam").mapInArrow(_placer(divided, depth), _PLACED)
+    cells = placed.select("ids", "vector", "code", "norm", F.explode("cells").alias("at")).select("ids", "vector", "code", "norm", "at.cell", "at.home")
     if n <= CHUNK:
         return cells.select("cell", F.lit(0).alias("block"), F.lit(0).alias("chunk"), "ids", "vector", "code", "norm", F.lit(True).alias("asks"), F.col("home").alias("member"))
-    counted = placed("code").groupBy("cell").agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("visitors"))
+    # all that a beam comes by, of which PROBES cells are looked up: so a cell has no more visitors than this
+    words = range(1, 2 + max((len(c) // 2 for c in divided.value), default=0))
+    met = [F.expr(f"substring(beam, {2 * depth * (BEAM * (w - 1) + i) + 1}, {2 * w})") for w in words for i in range(BEAM)]
+    own = [F.expr(f"substring(code, 1, {2 * w})") for w in words]
+    by_cell = distinct.select("code", F.explode(F.array_distinct(F.array(*own, *met))).alias("cell")).groupBy("cell")
+    counted = by_cell.agg(F.count_if(F.startswith("code", "cell")).alias("members"), F.count(F.lit(1)).alias("visitors"))
     parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
     load = cut(counted.where((F.col("members") > CELL) | (F.col("visitors") > CHUNK)).select("cell", F.greatest(parts("members", CELL), F.lit(1)).alias("n_blocks"), parts("visitors", CHUNK).alias("n_chunks")))
     known = cells.join(F.broadcast(load) if load.count() <= MOST_BROADCAST else load, "cell", "left")
@@ -341,7 +341,7 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     out = f"{key} {kind}, neighbours array<struct<similarity:double,{key}:{kind}>>"
-    drawn = _sample(vectors, dims, sample)
+    drawn = _sample(vectors, dims, sample, vectors.count())
     if not len(drawn):
         drawn = np.eye(1, dims, dtype=np.float32)
     books = quantizer.train(drawn, [max(1, min(FIRST, len(drawn) // PER_WORD)), *RESIDUAL])
