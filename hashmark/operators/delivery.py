@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hashmark.functions.ids import game_key, team_aliases
 from hashmark.operators.skew import hot_keys, replicated, salted
+from hashmark.session import cut
 
 
 def mark_copies(messages: DataFrame, key: dict[str, Column], newest_first: list[str], parts: int = 1024, flag: str = "is_copy") -> DataFrame:
@@ -77,7 +78,7 @@ def feed_absorbed(feed: DataFrame, dim_team: DataFrame, moment: str) -> DataFram
     named = feed.withColumn("game_key", game_key(F.col("game_id"), team_aliases(dim_team)))
     key, order = {"game": F.col("game_key"), "sequence": F.col("sequence_no")}, ["received_at", "msg_offset", "partition_no"]
     early = F.coalesce(F.col("received_at") < moment, F.lit(True))
-    return absorbed(unmarked(named.where(early), key, order), named.where(~early), key, order)
+    return absorbed(cut(unmarked(named.where(early), key, order)), named.where(~early), key, order)
 
 
 def feed_marked(feed: DataFrame, dim_team: DataFrame) -> DataFrame:
