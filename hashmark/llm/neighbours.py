@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +18,24 @@ from hashmark.session import cut
 SAMPLE = 98_304
 #: Words of the first level: one for so many sampled vectors, at most FIRST; then the sizes of the other levels.
 PER_WORD, FIRST, RESIDUAL = 48, 2048, (64,) * 8
-#: Prefixes kept by the beam search; cells a vector is looked up in; candidates reranked exactly in each cell.
-BEAM, PROBES, RERANK = 6, 4, 160
-#: Vectors a cell holds before it is divided by one word more, and the most words that divide it.
-CELL, DEPTH = 8192, 3
+#: Prefixes kept by the beam search; a cell's members that are told apart by exact products without the tables.
+BEAM, RERANK = 6, 160
+#: A vector is looked up in all cells no further behind their border than this by the square root of the dimensions, as a
+#: neighbour differs from it by so much in any one direction; in LEAST cells at least, in PROBES at most.
+BEHIND, LEAST, PROBES = 1.0, 3, 16
+#: Members of a cell that are searched in one block; a cell of DIVIDE times as many is divided by one word more, by DEPTH words at most.
+CELL, DIVIDE, DEPTH = 16_384, 4, 3
 #: Prefixes that are divided are known to every task; beyond so many, cells are searched in blocks instead.
 MAX_DIVIDED = 1 << 20
 #: Vectors looked up in a cell that meet its members in one group; and divided cells of which a list is still broadcast.
-CHUNK, MOST_BROADCAST = 2048, 100_000
+CHUNK, MOST_BROADCAST = 16_384, 100_000
 #: Rows that a searching task reads on average, whatever the cluster's setting for shuffles.
 TASK_ROWS = 32_768
 #: Rows an encoding task holds at once to find copies among them.
 HELD = 65_536
 #: Vectors have the same direction if their cosine is no further below 1: multiples of each other in single precision are within it.
 ALIKE = 1e-14
-#: Scores by tables and products in single precision that differ by no more count as equal.
+#: Cosines in double and products in single precision that differ by no more count as equal.
 NOISE, ROUGH = 1e-6, 1e-5
 
 
@@ -87,7 +91,29 @@ def _sample(vectors: DataFrame, dims: int, size: int, n: int) -> np.ndarray:
     return _unit(x).astype(np.float32) if len(x) else x.astype(np.float32)
 
 
-def _encoder(books: Broadcast, dims: int, k: int, depth: int):
+def _behind(far: np.ndarray, words: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """How far behind the border of its nearest word's cell each of the words ``near`` begins, nearest first; ``far``: halves of squared distances."""
+    apart = np.linalg.norm(words[near] - words[near[:, :1]], axis=2)
+    apart[:, 0] = 1
+    return (far - far[:, :1]) / np.maximum(apart, 1e-6)
+
+
+def _visited(x: np.ndarray, words: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of the words ``near``, nearest first, a vector is looked up by."""
+    far = (words[near] ** 2).sum(2) / 2 - np.einsum("nd,nwd->nw", x, words[near])
+    return (_behind(far, words, near) <= BEHIND / np.sqrt(x.shape[1])) | (np.arange(near.shape[1]) < LEAST)
+
+
+def _path(books: quantizer.Codebooks, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The nearest word of each level to what the nearest ones before leave over, beginning with ``first``."""
+    path, left = [first], x
+    for before, words in zip(books.words, books.words[1:DEPTH]):
+        left = left - before[path[-1]]
+        path.append(quantizer.nearest(left, words))
+    return np.stack(path, axis=1).astype(np.uint16)
+
+
+def _encoder(books: Broadcast, dims: int, k: int):
     """Among the rows held at once, exact copies of a vector become one row with their least ids; so do more than ``k`` + 1 vectors of one direction.
 
     A row has at most ``k`` + 1 ids; the others follow as rows without vector.
@@ -113,21 +139,24 @@ def _encoder(books: Broadcast, dims: int, k: int, depth: int):
         x = raw[first]
         for at in range(0, len(x), 4096):
             part = slice(at, at + 4096)
-            codes, norms, beam = quantizer.encode(books.value, _unit(x[part].astype(np.float64)).astype(np.float32), BEAM, depth)
+            u = _unit(x[part].astype(np.float64)).astype(np.float32)
+            codes, errors, near = quantizer.encode(books.value, u, BEAM, PROBES)
+            visited = np.concatenate([_visited(u[i : i + 1024], books.value.words[0], near[i : i + 1024]) for i in range(0, len(u), 1024)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(members[part], pa.list_(pa.int64())),
                     pa.array([v.tobytes() for v in x[part]], pa.binary()),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(norms, pa.float32()),
-                    pa.array([b.tobytes() for b in beam], pa.binary()),
+                    pa.array(errors, pa.float32()),
+                    pa.array([p.tobytes() for p in _path(books.value, u, near[:, 0].astype(np.int64))], pa.binary()),
+                    pa.array([w[v].tobytes() for w, v in zip(near, visited)], pa.binary()),
                     pa.nulls(len(codes), pa.int64()),
                 ],
                 names=_ENCODED,
             )
         if rest:
             none = pa.nulls(len(rest), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([[i] for i in rest], pa.list_(pa.int64())), none, none, pa.nulls(len(rest), pa.float32()), none, pa.array(rest_of, pa.int64())], names=_ENCODED)
+            yield pa.RecordBatch.from_arrays([pa.array([[i] for i in rest], pa.list_(pa.int64())), none, none, pa.nulls(len(rest), pa.float32()), none, none, pa.array(rest_of, pa.int64())], names=_ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -145,43 +174,52 @@ def _encoder(books: Broadcast, dims: int, k: int, depth: int):
     return run
 
 
-_ENCODED = ["ids", "vector", "code", "norm", "beam", "copy_of"]
-_PLACED = "ids array<bigint>, vector binary, code binary, norm float, cells array<struct<cell:binary,home:boolean>>"
+_ENCODED = ["ids", "vector", "code", "error", "path", "near", "copy_of"]
+_PLACED = "ids array<bigint>, vector binary, code binary, error float, cells array<struct<cell:binary,home:boolean>>"
 
 
-def _placer(divided: Broadcast, depth: int):
-    """The cell of each code, and the other cells that its beam comes by, nearest first, up to PROBES in all."""
-
-    width = 2 * depth * BEAM
+def _placer(shared: Broadcast, divided: Broadcast):
+    """The cell of each vector, and the others that it is looked up in, up to PROBES in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = divided.value
-
-        def leaf(code: bytes) -> bytes:
-            words = 1
-            while 2 * words < len(code) and words < depth and code[: 2 * words] in known:
-                words += 1
-            return code[: 2 * words]
+        known, books = divided.value, shared.value
+
+        def parts(prefix: bytes, left: np.ndarray, words: int) -> Iterator[tuple[float, bytes]]:
+            """The cells that a divided one has for what the prefix leaves over of a vector, and how far behind the border they begin."""
+            level = books.words[words]
+            far = (level * level).sum(1) / 2 - level @ left
+            near = quantizer.smallest(far[None], PROBES)
+            behind = _behind(far[near], level, near)[0]
+            for i, (word, b) in enumerate(zip(near[0], behind.tolist())):
+                if i < LEAST or b <= BEHIND / np.sqrt(len(left)):
+                    cell = prefix + np.uint16(word).tobytes()
+                    if cell in known and words + 1 < DEPTH:
+                        yield from ((max(b, c), x) for c, x in parts(cell, left - level[word], words + 1))
+                    else:
+                        yield b, cell
 
         for batch in batches:
             cells = []
-            for code, beam in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
-                home = leaf(code)
-                near = dict.fromkeys([home])
-                prefixes = [[beam[i : i + 2 * (words + 1)] for i in range(words * width, (words + 1) * width, 2 * depth)] for words in range(depth)]
-                for first in prefixes[0]:
-                    if first in known:
-                        near |= dict.fromkeys(c for words in prefixes[1:] for c in words if c.startswith(first) and c not in known and leaf(c) == c)
-                    else:
-                        near[first] = None
-                cells.append([{"cell": c, "home": c == home} for c in list(near)[:PROBES]])
+            for raw, path, near in zip(*[batch.column(i).to_pylist() for i in (1, 4, 5)]):
+                words = 1
+                while 2 * words < len(path) and path[: 2 * words] in known:
+                    words += 1
+                home = path[: 2 * words]
+                found = dict.fromkeys([home])
+                first = [near[i : i + 2] for i in range(0, len(near), 2)]
+                if not known.isdisjoint(first):
+                    x = _unit(np.frombuffer(raw, np.float32).astype(np.float64)[None])[0].astype(np.float32)
+                    each = [parts(c, x - books.words[0][int.from_bytes(c, sys.byteorder)], 1) if c in known else [(0.0, c)] for c in first]
+                    first = [c for _, c in sorted((p for cell in each for p in cell), key=lambda p: p[0])]
+                found |= dict.fromkeys(first)
+                cells.append([{"cell": c, "home": c == home} for c in list(found)[:PROBES]])
             kind = pa.list_(pa.struct([("cell", pa.binary()), ("home", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(cells, kind)], names=["ids", "vector", "code", "norm", "cells"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(cells, kind)], names=["ids", "vector", "code", "error", "cells"])
 
     return run
 
 
-def _placed_cells(distinct: DataFrame, divided: Broadcast, n: int, depth: int = DEPTH) -> DataFrame:
+def _placed_cells(distinct: DataFrame, shared: Broadcast, divided: Broadcast, n: int) -> DataFrame:
     """Each vector once for every cell it is looked up in: ``cell``, ``block``, ``chunk``, whether it ``asks`` there and is a ``member``.
 
     Cells differ in what they hold, and more in who comes by: a cell of more than ``CELL`` members is cut into blocks of them, and those
@@ -189,16 +227,13 @@ def _placed_cells(distinct: DataFrame, divided: Broadcast, n: int, depth: int =
     grows with the data, and members, being few where many come by, are what is repeated.
     """
 
-    placed = distinct.select("ids", "vector", "code", "norm", "beam").mapInArrow(_placer(divided, depth), _PLACED)
-    cells = placed.select("ids", "vector", "code", "norm", F.explode("cells").alias("at")).select("ids", "vector", "code", "norm", "at.cell", "at.home")
+    placed = distinct.select("ids", "vector", "code", "error", "path", "near").mapInArrow(_placer(shared, divided), _PLACED)
+    # only members are told apart by their codes
+    held = ["ids", "vector", F.when(F.col("at.home"), F.col("code")).alias("code"), F.when(F.col("at.home"), F.col("error")).alias("error")]
+    cells = placed.select("ids", "vector", "code", "error", F.explode("cells").alias("at")).select(*held, "at.cell", "at.home")
     if n <= CHUNK:
-        return cells.select("cell", F.lit(0).alias("block"), F.lit(0).alias("chunk"), "ids", "vector", "code", "norm", F.lit(True).alias("asks"), F.col("home").alias("member"))
-    # all that a beam comes by, of which PROBES cells are looked up: so a cell has no more visitors than this
-    words = range(1, 2 + max((len(c) // 2 for c in divided.value), default=0))
-    met = [F.expr(f"substring(beam, {2 * depth * (BEAM * (w - 1) + i) + 1}, {2 * w})") for w in words for i in range(BEAM)]
-    own = [F.expr(f"substring(code, 1, {2 * w})") for w in words]
-    by_cell = distinct.select("code", F.explode(F.array_distinct(F.array(*own, *met))).alias("cell")).groupBy("cell")
-    counted = by_cell.agg(F.count_if(F.startswith("code", "cell")).alias("members"), F.count(F.lit(1)).alias("visitors"))
+        return cells.select("cell", F.lit(0).alias("block"), F.lit(0).alias("chunk"), "ids", "vector", "code", "error", F.lit(True).alias("asks"), F.col("home").alias("member"))
+    counted = placed.select(F.explode("cells").alias("at")).groupBy("at.cell").agg(F.count_if("at.home").alias("members"), F.count(F.lit(1)).alias("visitors"))
     parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
     load = cut(counted.where((F.col("members") > CELL) | (F.col("visitors") > CHUNK)).select("cell", F.greatest(parts("members", CELL), F.lit(1)).alias("n_blocks"), parts("visitors", CHUNK).alias("n_chunks")))
     known = cells.join(F.broadcast(load) if load.count() <= MOST_BROADCAST else load, "cell", "left")
@@ -212,7 +247,7 @@ def _placed_cells(distinct: DataFrame, divided: Broadcast, n: int, depth: int =
     asked = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda c: place(own_block, c, False, F.lit(True)))
     alone = F.array(place(F.lit(0), F.lit(0), True, F.col("home")))
     places = F.when(F.col("n_blocks").isNull(), alone).when(F.col("home"), F.concat(asking, asked)).otherwise(asking)
-    return known.select("cell", F.explode(places).alias("p"), "ids", "vector", "code", "norm").select("cell", "p.block", "p.chunk", "ids", "vector", "code", "norm", "p.asks", "p.member")
+    return known.select("cell", F.explode(places).alias("p"), "ids", "vector", "code", "error").select("cell", "p.block", "p.chunk", "ids", "vector", "code", "error", "p.asks", "p.member")
 
 
 def _searcher(shared: Broadcast, dims: int, k: int):
@@ -223,11 +258,10 @@ def _searcher(shared: Broadcast, dims: int, k: int):
         ids = table.column("ids").to_pylist()
         home, asking = np.asarray(table.column("member")), np.flatnonzero(np.asarray(table.column("asks")))
         raw = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(-1, dims)
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16).reshape(len(raw), -1)
-        norms = np.asarray(table.column("norm"), np.float32)
         exact = _unit(raw.astype(np.float64))
         # members with the same vector are one, with the least ids of all
         at = np.flatnonzero(home)
+        members = table.filter(pa.array(home))
         _, first, same = np.unique(_keys(raw[at]), return_index=True, return_inverse=True)
         listed: list[list[int]] = [[] for _ in first]
         for i, c in zip(at.tolist(), same.tolist()):
@@ -238,12 +272,13 @@ def _searcher(shared: Broadcast, dims: int, k: int):
         heads, of = np.unique(_directions(db), return_inverse=True)
         by_head = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(heads)))[:-1])
         one = at[first[heads]]
-        lead, lead_codes, lead_norms = exact[one], codes[one], norms[one]
+        lead, lead_errors = exact[one], np.asarray(members.column("error"), np.float32)[first[heads]]
+        codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint16).reshape(len(at), len(books.words))[first[heads]]
         alone = np.array([len(x) == 1 for x in by_head], bool)
         approximate, narrow = exact.astype(np.float32), lead.astype(np.float32)
         out_id, out_found = [], []
         n = min(RERANK, len(one))
-        few, last = min(n, k + 6), min(n, k + 1) - 1
+        last = min(n, k + 1) - 1
 
         def closest(q: int, chosen: np.ndarray) -> list[tuple[float, int]]:
             """The best of all vectors with the directions ``chosen``, and of those the least ids where they tie."""
@@ -256,29 +291,39 @@ def _searcher(shared: Broadcast, dims: int, k: int):
             top = np.lexsort((who, -sims))[: k + 1]
             return list(zip((-sims[top]).tolist(), who[top].tolist()))
 
-        for start in range(0, len(asking) if n else 0, 512):
-            part = asking[start : start + 512]
-            score = quantizer.scores(books, approximate[part], lead_codes, lead_norms).T
-            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            least = np.take_along_axis(score, best, 1).min(1) - NOISE
-            wide = (score >= least[:, None]).sum(1) > n
-            # exact products of the best, first in single precision, then in double for the few that count
-            rough = np.einsum("qd,qrd->qr", approximate[part], narrow[best])
-            wide |= (rough >= -np.partition(-rough, last, axis=1)[:, last, None] - ROUGH).sum(1) > few
+        def settle(part: np.ndarray, rough: np.ndarray, which: np.ndarray | None) -> None:
+            """The best by products in single precision ``rough`` with the directions ``which`` (else all), those that count in double."""
+            few = min(rough.shape[1], k + 6)
+            counts = rough >= -np.partition(-rough, last, axis=1)[:, last, None] - ROUGH
             top = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            best = np.take_along_axis(best, top, 1)
-            wide |= ~alone[best].all(1)
+            best = top if which is None else np.take_along_axis(which, top, 1)
+            wide = (counts.sum(1) > few) | ~alone[best].all(1)
             sims = np.round(np.einsum("qd,qrd->qr", exact[part], lead[best]), 12)
             for i, (q, row, sim, more) in enumerate(zip(part.tolist(), best.tolist(), sims.tolist(), wide.tolist())):
                 if more:
-                    # whatever the tables or single precision can't tell from the last one kept
-                    pool = closest(q, np.flatnonzero(score[i] >= least[i]))
+                    # whatever single precision can't tell from the last one kept
+                    pool = closest(q, np.flatnonzero(counts[i]) if which is None else which[i][counts[i]])
                 else:
                     pool = sorted((-s, o) for s, c in zip(sim, row) for o in listed[by_head[c][0]])
                 for doc in ids[q]:
                     near = [(-s, o) for s, o in pool if o != doc][:k]
                     out_id.append(doc)
                     out_found.append([{"s": s, "i": o} for s, o in near])
+
+        for start in range(0, len(asking) if n else 0, 512):
+            part = asking[start : start + 512]
+            if n < len(one):
+                # a product is no further from the tables' than what the code leaves over: the rest can't be among the best
+                most = quantizer.scores(books, approximate[part], codes).T + lead_errors
+                best = np.argpartition(-most, n - 1, axis=1)[:, :n]
+                rough = np.einsum("qd,qrd->qr", approximate[part], narrow[best])
+                rest = np.take_along_axis(most, best, 1).min(1)
+                sure = rest < -np.partition(-rough, last, axis=1)[:, last] - ROUGH
+                if sure.any():
+                    settle(part[sure], rough[sure], best[sure])
+                part = part[~sure]
+            if len(part):
+                settle(part, approximate[part] @ narrow.T, None)
         return pa.table({"id": pa.array(out_id, pa.int64()), "found": pa.array(out_found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))})
 
     return run
@@ -329,10 +374,11 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
     shorter than ``k`` where there are fewer others.
 
     Codebooks of words in full dimension, each level fitted on what the levels before leave over, are
-    fitted on a bounded sample. Every vector is encoded by beam search. The first words of a code are its cell; a cell
-    of over ``CELL`` vectors is divided by the next word; one that isn't divided further is searched in blocks, those
-    looked up there in chunks, so that the groups stay small. A vector is looked up in its own cell and in those its beam came by: tables of its products with the words give the
-    scores of all codes there, divided by their stored norms, and the best are reranked exactly.
+    fitted on a bounded sample. Every vector is encoded by beam search. A vector's cell is its nearest word; a cell
+    of over ``DIVIDE * CELL`` vectors is divided by the next word; one of over ``CELL`` is searched in blocks, those
+    looked up there in chunks, so that the groups stay small. A vector is looked up in its own cell and in all whose border is near, however many
+    vectors they hold. Of a cell's members none is lost: tables of a vector's products with the words give the
+    scores of all codes there, which are off by what the code leaves over at most; whatever can be among the best by that is held against it exactly.
     Exact copies are one vector with several keys in every step, so that many copies cost no more than one; so are
     vectors of one direction (multiples of each other, which differ by the rounding of single precision at most) where a
     task holds more than ``k`` + 1 of them. Fewer keep their own vectors. Whatever ties with the last one kept is kept too.
@@ -346,17 +392,17 @@ def nearest(docs: DataFrame, k: int = 5, dims: int = 96, key: str = "doc_id", ve
         drawn = np.eye(1, dims, dtype=np.float32)
     books = quantizer.train(drawn, [max(1, min(FIRST, len(drawn) // PER_WORD)), *RESIDUAL])
     shared = spark.sparkContext.broadcast(books)
-    encoded = cut(vectors.where(F.size("vector") == dims).mapInArrow(_encoder(shared, dims, k, DEPTH), "ids array<bigint>, vector binary, code binary, norm float, beam binary, copy_of bigint"))
+    encoded = cut(vectors.where(F.size("vector") == dims).mapInArrow(_encoder(shared, dims, k), "ids array<bigint>, vector binary, code binary, error float, path binary, near binary, copy_of bigint"))
     distinct = encoded.where("vector IS NOT NULL")
 
     # which prefixes hold too many vectors: at most n / limit of them for each number of words come to the driver
     n = distinct.count()
-    limit = max(CELL, n * DEPTH // MAX_DIVIDED)
-    prefixes = distinct.select(F.explode(F.array(*[F.expr(f"substring(code, 1, {2 * w})") for w in range(1, DEPTH)])).alias("cell"))
+    limit = max(DIVIDE * CELL, n * DEPTH // MAX_DIVIDED)
+    prefixes = distinct.select(F.explode(F.array(*[F.expr(f"substring(path, 1, {2 * w})") for w in range(1, DEPTH)])).alias("cell"))
     large = prefixes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     divided = frozenset(bytes(r.cell) for r in large.select("cell").collect())
-    cells = _placed_cells(distinct, spark.sparkContext.broadcast(divided), n)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-PROBES * n // TASK_ROWS))
+    cells = _placed_cells(distinct, shared, spark.sparkContext.broadcast(divided), n)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(LEAST + 1) * n // TASK_ROWS))
     found = cells.repartition(tasks, "cell", "block", "chunk").groupBy("cell", "block", "chunk").applyInArrow(_searcher(shared, dims, k), "id bigint, found array<struct<s:double,i:bigint>>")
 
     # an id was looked up in a few cells (or blocks): their lists are short and few

@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Squared distances of unit vectors in single precision are off by no more.
+SINGLE = 1e-5
+
 
 @dataclass(frozen=True)
 class Codebooks:
@@ -59,10 +62,15 @@ def train(sample: np.ndarray, sizes: list[int], rounds: int = 4, seed: int = 7)
     return Codebooks(tuple(words))
 
 
-def encode(books: Codebooks, x: np.ndarray, beam: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (n, levels), norms of what they stand for, and the beams: (n, keep, beam, keep) prefixes of 1 to ``keep`` words.
+def smallest(far: np.ndarray, n: int) -> np.ndarray:
+    """Where the ``n`` smallest numbers of each row are, smallest first."""
+    n = min(n, far.shape[1])
+    at = np.argpartition(far, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
+
 
-    The ``beam`` best prefixes of each length are given nearest first, filled up with zeros.
+def encode(books: Codebooks, x: np.ndarray, beam: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n, levels) of unit vectors, how far what they stand for is from the vector at most, and the ``near`` nearest words of the first level.
 
     At each level every kept prefix is tried with every word and the ``beam`` nearest sums go on. Distances
     come from the products of the vectors with all words and of all words with each other.
@@ -79,7 +87,6 @@ def encode(books: Codebooks, x: np.ndarray, beam: int, keep: int) -> tuple[np.nd
         codes = np.zeros((n, 1, 0), np.int32)
         far = np.zeros((n, 1), np.float32)
         crossed = None
-        kept = np.zeros((n, keep, beam, keep), np.uint16)
         for level in range(m):
             k, start = len(books.words[level]), starts[level]
             total = far[:, :, None] + (own[start : start + k] - 2 * dots[:, start : start + k])[:, None, :]
@@ -87,6 +94,8 @@ def encode(books: Codebooks, x: np.ndarray, beam: int, keep: int) -> tuple[np.nd
                 here = start - len(books.words[0])
                 total += 2 * crossed[:, :, here : here + k]
             total = total.reshape(n, -1)
+            if not level:
+                closest = smallest(total, near)
             b = min(beam, total.shape[1])
             best = np.argpartition(total, b - 1, axis=1)[:, :b]
             far = np.take_along_axis(total, best, 1)
@@ -97,23 +106,19 @@ def encode(books: Codebooks, x: np.ndarray, beam: int, keep: int) -> tuple[np.nd
             if level + 1 < m:
                 mine = gram[word + start]
                 crossed = mine if crossed is None else np.take_along_axis(crossed, parent[:, :, None], 1) + mine
-            if level < keep:
-                kept[:, level, :, : level + 1] = np.concatenate([codes, np.repeat(codes[:, -1:], beam - codes.shape[1], 1)], axis=1)
-        best_codes = codes[:, 0, :]
-        # |sum|^2 = distance - |x|^2 + 2 x.sum, and the distance kept lacks |x|^2
-        dot = np.take_along_axis(dots, best_codes + starts, 1).sum(1)
-        norm = np.sqrt(np.maximum(far[:, 0] + 2 * dot, 1e-12))
-        out.append((best_codes.astype(np.uint16), norm.astype(np.float32), kept))
+        # the distance kept lacks |x|^2, which is 1; single precision may have made it smaller
+        error = np.sqrt(np.maximum(far[:, 0] + 1, 0) + SINGLE)
+        out.append((codes[:, 0, :].astype(np.uint16), error.astype(np.float32), closest.astype(np.uint16)))
     if not out:
-        return np.zeros((0, m), np.uint16), np.zeros(0, np.float32), np.zeros((0, keep, beam, keep), np.uint16)
+        return np.zeros((0, m), np.uint16), np.zeros(0, np.float32), np.zeros((0, min(near, len(books.words[0]))), np.uint16)
     return tuple(np.concatenate(p) for p in zip(*out))
 
 
-def scores(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """(codes, queries): the cosine of each query with what each code stands for, summed from one table per query."""
+def scores(books: Codebooks, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(codes, queries): the product of each query with what each code stands for, summed from one table per query."""
     total = None
     for level, words in enumerate(books.words):
         used, place = np.unique(codes[:, level], return_inverse=True)
         table = words[used] @ queries.T
         total = table[place] if total is None else total + table[place]
-    return total / norms[:, None]
+    return total

@@ -331,3 +331,15 @@ def test_multiples_fill_several_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [float(np.float32(x)) for x in one * (0.3 + i / 7)]) for i in range(300)], "doc_id long, embedding array<float>").repartition(60)
     found = {r.doc_id: [x.doc_id for x in r.neighbours] for r in neighbours.nearest(docs).collect()}
     assert found == {i: [j for j in range(6) if j != i][:5] for i in range(300)}
+
+
+def test_many_more_vectors_than_the_codebooks_saw(spark):
+    """Cells hold many more than are reranked without the tables, and their borders cut through what is near each other: few pairs are lost."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((3, 96))[np.arange(2400) % 3] + 0.5 * rng.standard_normal((2400, 96))
+    rows = [(i, [float(np.float32(f)) for f in v]) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    found = neighbours.nearest(docs, sample=300).select("doc_id", F.explode("neighbours.doc_id").alias("b")).collect()
+    got = {(min(r), max(r)) for r in map(tuple, found)}
+    want = brute(rows, 5, 96)
+    assert len(got & want) >= 0.99 * len(want)
