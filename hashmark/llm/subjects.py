@@ -15,12 +15,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashmark.session import cut
+from hashmark.session import Kept, cut
 
 #: A word counts as a term if this share of the documents, and at least so many, have it; of more than MAX_TERMS the commonest count.
 TERM_SHARE, TERM_LEAST, MAX_TERMS = 0.0005, 4, 65_000
-#: The directions and the leaves are fitted on at most about so many documents, drawn by a hash of their ids; all else covers all.
-SAMPLE = 32_768
 #: Dimensions of the document vectors, leaves of the clustering, passes over the sentences.
 DIMENSIONS, LEAVES, PASSES = 48, 128, 3
 #: A document's leaves are the nearest so many, weighted by exp(SHARPNESS * cosine).
@@ -265,9 +263,9 @@ class Model:
     labels: list[list[str]]
 
 
-def _leaf_centres(sample: DataFrame, idf: Broadcast, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The directions in which the sample's documents vary most, and the centres of the leaves of bisecting k-means over its vectors."""
-    spark = sample.sparkSession
+def _leaf_centres(encoded: DataFrame, idf: Broadcast, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions in which the documents vary most, and the centres of the leaves of bisecting k-means over their vectors."""
+    spark = encoded.sparkSession
     start = spark.sparkContext.broadcast(np.random.default_rng(11).standard_normal((size, DIMENSIONS)).astype(np.float32))
 
     def vary(total: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -277,7 +275,7 @@ def _leaf_centres(sample: DataFrame, idf: Broadcast, size: int) -> tuple[np.ndar
         if len(first):
             total[term[order][first]] += np.add.reduceat(v[doc[order]] * w[order][:, None].astype(np.float32), first, axis=0)
 
-    basis = np.linalg.qr(_sums(sample, size, DIMENSIONS, vary))[0].astype(np.float32)
+    basis = np.linalg.qr(_sums(encoded, size, DIMENSIONS, vary))[0].astype(np.float32)
     basis = np.pad(basis, ((0, 0), (0, DIMENSIONS - basis.shape[1])))  # a vocabulary may have fewer directions
     known = spark.sparkContext.broadcast(basis)
 
@@ -286,7 +284,10 @@ def _leaf_centres(sample: DataFrame, idf: Broadcast, size: int) -> tuple[np.ndar
             v = _vectors(_flat(batch, 2), batch.num_rows, idf.value, known.value)
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(v.ravel(), pa.float32()), DIMENSIONS).cast(pa.list_(pa.float32()))], names=["vector"])
 
-    held = cut(sample.mapInArrow(vectors, "vector array<float>")).repartition(spark.sparkContext.defaultParallelism).select(array_to_vector("vector").alias("v"))
+    held = cut(encoded.mapInArrow(vectors, "vector array<float>"))
+    if held.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        held = held.repartition(spark.sparkContext.defaultParallelism)
+    held = held.select(array_to_vector("vector").alias("v"))
     if not held.limit(1).count():
         return basis, np.zeros((1, DIMENSIONS), np.float32)
     leaves = BisectingKMeans(featuresCol="v", k=LEAVES, maxIter=5, seed=5, minDivisibleClusterSize=8.0).fit(held)
@@ -298,8 +299,8 @@ def fit(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[DataFrame
     """The encoded documents with their leaves, and the model.
 
     1. Document vectors: term weights log(1 + n) * idf, normalised, projected to the ``DIMENSIONS`` directions in
-       which the documents of a bounded sample vary most (one round of power iteration from random ones), normalised.
-    2. Bisecting k-means over the sample's vectors gives the leaves. Every document is then placed: it belongs to its
+       which the documents vary most (one round of power iteration from random ones), normalised.
+    2. Bisecting k-means over all vectors gives the leaves. Every document is then placed: it belongs to its
        ``NEAR`` nearest leaves, the nearer the more.
     3. A leaf's discriminative terms are those it has most beyond their share in all leaves. What annotators said of
        documents, and the areas' own descriptions, tell which subjects a term goes with; a leaf's terms
@@ -321,14 +322,11 @@ def fit(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[DataFrame
     votes = labels.groupBy("doc_id").agg(F.array(*[F.count_if(F.col("subject") == s).cast("double") for s in subjects]).alias("votes"))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
 
-    # repeated rows are drawn together or not at all, so they count once here
-    scale = 1 << 32
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < int(min(1.0, SAMPLE / max(vocab.n_docs, 1)) * scale)).distinct()
-    sample = cut(drawn.select("doc_id", F.lit(None).cast("array<double>").alias("votes"), "text").mapInArrow(_encoder(shared), _ENCODED).where("length(words) > 0")).repartition(sc.defaultParallelism)
-    basis, centres = map(sc.broadcast, _leaf_centres(sample, idf, size))
-
-    encoded = texts.join(votes, "doc_id", "left").select("doc_id", "votes", "text").mapInArrow(_encoder(shared), _ENCODED).where("length(words) > 0")
-    placed = cut(encoded.mapInArrow(_placer(idf, basis, centres), _ENCODED + ", near binary, share binary"))
+    kept = Kept(docs.sparkSession)
+    encoded = kept.keep(texts.join(votes, "doc_id", "left").select("doc_id", "votes", "text").mapInArrow(_encoder(shared), _ENCODED).where("length(words) > 0"), "encoded")
+    basis, centres = map(sc.broadcast, _leaf_centres(encoded, idf, size))
+    placed = kept.keep(encoded.mapInArrow(_placer(idf, basis, centres), _ENCODED + ", near binary, share binary"), "placed")
+    kept.drop("encoded")
 
     said = np.zeros((size, n))
     number = {t: i for i, t in enumerate(vocab.terms)}
